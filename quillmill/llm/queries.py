@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontam, fingerprint, line_dedup, packing, warc
+from . import decontam, fingerprint, fm_dedup, line_dedup, packing, suffix_dedup, warc
 
 
 def queries() -> dict:
     return {
         "op1_fingerprint": fingerprint.op1_fingerprints,
         "op3_line_dedup": line_dedup.op3_line_dedup,
+        "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op6_packing": packing.op6_packing,
+        "op7_substring_dedup": fm_dedup.op7_substring_dedup,
         "op8_decontamination": decontam.op8_decontamination,
         "op10_warc": warc.op10_warc,
     }
