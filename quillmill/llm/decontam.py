@@ -150,19 +150,23 @@ def word_shares(docs: DataFrame, vocab: set[str]) -> tuple[dict[str, float], flo
     return {w: n / max(total, 1.0) for w, n in got.items()}, total
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_score: float = MIN_SCORE, n: int = SEED_WORDS) -> DataFrame:
-    """(doc_id, item_id, score, start_word, end_word, n_regions): a row for each document and item that it holds."""
-    tune(docs.sparkSession)
-    docs = id_text(docs, id_col, text_col)
+def seed_blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, n: int) -> Iterator[Seeds]:
+    """The seeds of each block of items; docs: (doc_id, text)."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
     size = items.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
     blocks = max(1, -(-size.n // BLOCK_ITEMS), -(-(size.b or 0) // BLOCK_BYTES))
-    out = None
     for k in range(blocks):
         block = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()]
         block.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
-        shares, total = word_shares(docs, {w for _, t in block for w in words(t)})
-        seeds = Seeds(block, shares, total, n)
+        yield Seeds(block, *word_shares(docs, {w for _, t in block for w in words(t)}), n)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_score: float = MIN_SCORE, n: int = SEED_WORDS) -> DataFrame:
+    """(doc_id, item_id, score, start_word, end_word, n_regions): a row for each document and item that it holds."""
+    tune(docs.sparkSession)
+    docs = id_text(docs, id_col, text_col)
+    out = None
+    for seeds in seed_blocks(docs, benchmark, item_col, item_text_col, n):
         ids = [i for i, _ in seeds.items]
 
         def run(rows: Iterator[pa.RecordBatch], seeds=seeds, ids=ids) -> Iterator[pa.RecordBatch]:
@@ -182,5 +186,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_score: float = MIN_SCORE, n: int = SEED_WORDS) -> DataFrame:
+    """The rows of docs that hold no item; all their columns pass through and nothing is shuffled."""
+    tune(docs.sparkSession)
+    at, out = docs.columns.index(text_col), docs
+    for seeds in seed_blocks(id_text(docs, id_col, text_col), benchmark, item_col, item_text_col, n):
+
+        def run(rows: Iterator[pa.RecordBatch], seeds=seeds) -> Iterator[pa.RecordBatch]:
+            get = seeds.vocab.get
+            for b in rows:
+                clean = [next(seeds.matches(np.array([get(w, -1) for w in words(t)], np.int64), min_score), None) is None for t in b.column(at).to_pylist()]
+                yield b.filter(pa.array(clean, pa.bool_()))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

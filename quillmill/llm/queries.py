@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontam, fingerprint, fm_dedup, line_dedup, packing, suffix_dedup, warc
+from . import decontam, fingerprint, fm_dedup, html_extract, line_dedup, near_dedup, packing, suffix_dedup, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_fingerprint": fingerprint.op1_fingerprints,
+        "op2_toxicity": toxicity.op2_toxicity,
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
+        "op5_near_dedup": near_dedup.op5_near_dedup,
         "op6_packing": packing.op6_packing,
         "op7_substring_dedup": fm_dedup.op7_substring_dedup,
         "op8_decontamination": decontam.op8_decontamination,
+        "op9_html_extract": html_extract.op9_html_extract,
         "op10_warc": warc.op10_warc,
     }
 
