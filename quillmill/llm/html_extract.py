@@ -124,6 +124,9 @@ def features(blocks: list[Block]) -> list[list[str]]:
         f = {"1", f"tag={next((t for t, _ in reversed(b.path) if t in BLOCK_TAGS), 'none')}", f"words={_level(n, (2, 4, 8, 15, 30, 60))}", f"linked={_level(b.linked, (0.05, 0.35, 0.7, 0.95))}", f"end={b.text[-1] in '.!?:;…»”’' + chr(34)}", f"commas={_level(b.text.count(','), (1, 3))}"}
         f |= {f"in={t}" for t, _ in b.path if t in BLOCK_TAGS and t not in ("html", "body")}
         f |= {f"has={w}" for _, ws in b.path for w in ws if not w.isdigit()}
+        holders = [t for t, _ in b.path if t in BLOCK_TAGS]
+        f |= {f"under={holders[-2] if len(holders) > 1 else 'none'}", f"deep={min(4, len(holders) - 1 - max((k for k, t in enumerate(holders) if t in ('article', 'main')), default=-1))}"}
+        f |= {f"near={w}" for w in next((ws for _, ws in reversed(b.path) if ws), ()) if not w.isdigit()}
         if any(w.strip(".,:;!?()").lower() in CUES for w in words[:40]):
             f.add("cue")
         if "©" in b.text or "|" in b.text or "·" in b.text or "»" in b.text:
@@ -163,7 +166,7 @@ class Crf:
         return out[::-1]
 
 
-def train(pages: list[tuple[list[list[str]], list[int]]], rounds: int = 250, ridge: float = 1e-3) -> Crf:
+def train(pages: list[tuple[list[list[str]], list[int]]], rounds: int = 300, ridge: float = 1e-5) -> Crf:
     """Maximum likelihood with a quadratic penalty, by Adam over all pages at once."""
     pages = [p for p in pages if p[0]]
     seen: dict[str, int] = {}
@@ -249,7 +252,7 @@ def _page(r: random.Random) -> str:
         x = r.random()
         if x < 0.66:
             lead = r.choice(["", "", "", "<b>", "<i>"])
-            return f"<p>{lead}{MARK}{inline(say(*r.choice([(1, 5), (6, 30), (20, 90)])))}" + r.choice(["</p>", "</p>", "</p>", "<br>", ""])
+            return f"<p>{lead}{MARK}{inline(say(*r.choice([(1, 5), (6, 30), (20, 90)]), r.random() < 0.9))}" + r.choice(["</p>", "</p>", "</p>", "<br>", ""])
         if x < 0.74:
             h = r.choice(["h2", "h3"])
             return f"<{h}>{MARK}{say(1, 7, r.random() < 0.2)}</{h}>"
@@ -304,19 +307,19 @@ def _page(r: random.Random) -> str:
 
     noise = [advert, comments, form, notice, sidebar, share]
     body = [main_block() for _ in range(r.choice([1, 2, 3, 5, 8, 14]))]
-    for _ in range(r.choice([0, 0, 1, 2])):
+    for _ in range(r.choice([0, 0, 1, 2, 3])):
         body.insert(r.randint(0, len(body)), r.choice([advert, share, form, notice, sidebar, comments])())
-    title = f"<h1>{MARK}{say(2, 12, r.random() < 0.2)}</h1>" if r.random() < 0.8 else ""
+    title = f"<h1>{MARK}{say(2, 12, r.random() < 0.2)}</h1>" if r.random() < 0.7 else ""
     t = r.choice(["article", "article", "article", "main", "div", "div", "section", "td"])
     kind = r.choice(["", "", pick("article", "post", "content", "entry", "story")]) if t in ("article", "main") else pick("content", "article", "post", "entry", "story", "main", "text", "body")
     article = f"<{t}{kind}>{title}{''.join(body)}</{t}>"
     if t == "td":
         article = f"<table><tr><td{pick('nav', 'menu', 'sidebar')}>{links(3, 'div')}</td>{article}</tr></table>"
-    if r.random() < 0.3:
+    if r.random() < 0.4:
         article = f"<{r.choice(['main', 'div'])}{r.choice(['', pick('content', 'wrapper', 'page', 'container')])}>{article}{r.choice(['', sidebar(), comments()])}</main></div>"
-    before = [f() for f in r.choice([[menu], [menu, advert], [header], [header, menu], [notice, header], [header, menu, advert], [advert], [], [form, menu]])]
-    after = [r.choice(noise)() for _ in range(r.choice([0, 0, 1, 2, 3]))]
-    end = [footer()] if r.random() < 0.85 else []
+    before = [f() for f in r.choice([[menu], [menu, advert], [header], [header, menu], [notice, header], [header, menu, advert], [advert], [form, menu], [], [], []])]
+    after = [r.choice(noise)() for _ in range(r.choice([0, 0, 0, 1, 2, 3]))]
+    end = [footer()] if r.random() < 0.7 else []
     return f"<!DOCTYPE html><html><head><title>{say(2, 8, False)}</title><style>p{{margin:0}}</style><script>var a='<p>';</script></head><body>{''.join(before)}{article}{''.join(after)}{''.join(end)}</body></html>"
 
 
@@ -334,7 +337,7 @@ def labelled_pages(n: int, seed: int) -> list[tuple[list[Block], list[int]]]:
 
 @lru_cache(1)
 def model() -> Crf:
-    return train([(features(b), y) for b, y in labelled_pages(900, 11)])
+    return train([(features(b), y) for b, y in labelled_pages(1000, 11)])
 
 
 def main_text(html: str | None, crf: Crf) -> str:
