@@ -41,6 +41,8 @@ def words(text: str | None) -> list[str]:
 
 def _table(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     """Best local score, with the ends in a and b (the first best by b's end, then a's)."""
+    if not len(b):
+        return 0, 0, 0
     j = np.arange(1, len(b) + 1) * -GAP
     row, best, at_a, at_b = np.zeros(len(b) + 1, np.int64), 0, 0, 0
     for i, x in enumerate(a):

@@ -3,7 +3,9 @@
 Features are rates of a document: densities of lexicon hits and their weights, hits near second-person words, capitals,
 punctuation, and obfuscated words. The lexicon is learned: words, and their first five and six letters, that are far more
 frequent in toxic rows. Words are read lower-cased, with digits and signs that stand for letters put back. Labelled rows
-are split by a hash in three: one part for the lexicon, one for the trees, one for the calibration.
+are split by a hash in halves: the trees see each half with the lexicon of the other, and the calibration sees each half's
+scores from trees of the other, so neither learns from its own labels. The model in use has the lexicon and the trees of
+both halves.
 
 The fit uses at most SAMPLE_ROWS labelled rows (those with the least hash of doc_id); their ids are sent to all tasks, a
 few hundred kB. Scoring reads every whole text and shuffles nothing.
@@ -33,7 +35,7 @@ from .common import fresh_name, table, tune
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.7
 #: Lexicon units need so many toxic rows and so high a log-odds weight; at most so many are kept.
-MIN_ROWS, MIN_WEIGHT, MOST_UNITS = 4, 2.5, 5000
+MIN_ROWS, MIN_WEIGHT, MOST_UNITS = 3, 2.5, 5000
 TREES, DEPTH, RATE, BINS = 80, 3, 0.15, 32
 NEAR_WORDS = 5
 KNOWN_TOKENS = 300_000
@@ -185,43 +187,55 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     tune(docs.sparkSession)
     sample = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
     sample = sample.filter(~held_out("id")).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
-    part = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(5))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id").select("text", F.col("y").cast("int").alias("y"), part.cast("int").alias("part"))
+    half = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(2))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id").select("text", F.col("y").cast("int").alias("y"), half.cast("int").alias("half"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: tuple[Counter, Counter] = (Counter(), Counter())
+        n = [Counter() for _ in range(4)]
         for b in batches:
-            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for text, y, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 own = {u for t in set((text or "").split()) for u in units_of(t)}
-                n[y > 0].update(own)
-                n[y > 0][""] += 1
-        units = sorted({*n[0], *n[1]})
-        yield pa.record_batch([pa.array(units, pa.string()), pa.array([n[0][u] for u in units], pa.int64()), pa.array([n[1][u] for u in units], pa.int64())], names=["unit", "clean", "toxic"])
-
-    counted = rows.filter("part < 2").mapInArrow(count, "unit string, clean long, toxic long").groupBy("unit").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    # The weight is monotone in toxic / clean for given totals, so the filter needs no totals beforehand.
-    found = counted.filter((F.col("unit") == "") | (F.col("toxic") >= MIN_ROWS)).orderBy((F.col("unit") == "").desc(), ((F.col("toxic") + 0.5) / (F.col("clean") + 0.5)).desc(), "unit").limit(MOST_UNITS + 1).collect()
-    total = next(((r.clean, r.toxic) for r in found if r.unit == ""), (0, 0))
-    weight = {r.unit: math.log((r.toxic + 0.5) / (total[1] + 1)) - math.log((r.clean + 0.5) / (total[0] + 1)) for r in found if r.unit}
-    lexicon = {u: w for u, w in weight.items() if w >= MIN_WEIGHT}
+                n[2 * h + (y > 0)].update(own)
+                n[2 * h + (y > 0)][""] += 1
+        units = sorted(set().union(*n))
+        yield pa.record_batch([pa.array(units, pa.string()), *(pa.array([c[u] for u in units], pa.int64()) for c in n)], names=["unit", *names])
+
+    names = ["clean0", "toxic0", "clean1", "toxic1"]
+    counted = rows.mapInArrow(count, "unit string, clean0 long, toxic0 long, clean1 long, toxic1 long").groupBy("unit").agg(*(F.sum(c).alias(c) for c in names))
+    share = lambda t, c: (t + 0.5) / (c + 0.5)  # noqa: E731  (for given totals the weight rises with it)
+    odds = F.greatest(share(F.col("toxic0"), F.col("clean0")), share(F.col("toxic1"), F.col("clean1")), share(F.col("toxic0") + F.col("toxic1"), F.col("clean0") + F.col("clean1")))
+    found = counted.filter((F.col("unit") == "") | (F.col("toxic0") + F.col("toxic1") >= MIN_ROWS)).orderBy((F.col("unit") == "").desc(), odds.desc(), "unit").limit(MOST_UNITS + 1).collect()
+
+    def learn(halves: tuple[int, ...], least: int) -> dict[str, float]:
+        clean, toxic = ({r.unit: sum(r[f"{kind}{h}"] for h in halves) for r in found} for kind in ("clean", "toxic"))
+        n, m = clean.get("", 0), toxic.get("", 0)
+        weight = {u: math.log((t + 0.5) / (m + 1)) - math.log((clean[u] + 0.5) / (n + 1)) for u, t in toxic.items() if u and t >= least}
+        return {u: w for u, w in weight.items() if w >= MIN_WEIGHT}
+
+    lexicons = [learn((1,), MIN_ROWS - 1), learn((0,), MIN_ROWS - 1)]  # that of the other half
+    lexicon = learn((0, 1), MIN_ROWS)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(lexicon)
+        tokens = [Tokens(x) for x in lexicons]
         for b in batches:
-            x = tokens.features(b.column(0).to_pylist())
-            yield pa.record_batch([b.column(1), b.column(2), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "part", "x"])
+            for h in range(2):
+                own = b.filter(pa.array([x == h for x in b.column(2).to_pylist()], pa.bool_()))
+                if own.num_rows:
+                    yield pa.record_batch([own.column(1), own.column(2), pa.array(list(tokens[h].features(own.column(0).to_pylist())), pa.list_(pa.float64()))], names=["y", "half", "x"])
 
-    got = rows.filter("part >= 2").mapInArrow(measure, "y int, part int, x array<double>").collect()  # at most sample_rows rows of FEATURES numbers
-    got.sort(key=lambda r: (r.part, r.y, r.x))
+    got = rows.mapInArrow(measure, "y int, half int, x array<double>").collect()  # at most sample_rows rows of FEATURES numbers
+    got.sort(key=lambda r: (r.half, r.y, r.x))
     y = np.array([float(r.y > 0) for r in got])
-    fitted = np.array([r.part < 4 for r in got], bool)
+    second = np.array([r.half == 1 for r in got], bool)
     none = np.zeros(0)
-    if not len(y) or len(set(y[fitted])) < 2 or len(set(y[~fitted])) < 2:
+    if not len(y) or any(len(set(part)) < 2 for part in (y[second].tolist(), y[~second].tolist())):
         return Model(lexicon, None, none, none, float(y.mean()) if len(y) else 0.0)
     x = np.array([r.x for r in got])
-    trees = Boosted(x[fitted], y[fitted])
-    at, value = isotonic(trees.raw(x[~fitted]), y[~fitted])
-    return Model(lexicon, trees, at, value, float(y.mean()))
+    raw = np.empty(len(y))
+    for part in (second, ~second):
+        raw[part] = Boosted(x[~part], y[~part]).raw(x[part])
+    at, value = isotonic(raw, y)
+    return Model(lexicon, Boosted(x, y), at, value, float(y.mean()))
 
 
 def held_out(column: str) -> F.Column:
