@@ -12,6 +12,12 @@ def pinned(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small input that lies in fewer parts than there are cores is dealt to all of them; a large one stays as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def first_wins(df: DataFrame, key: str | list[str], order: str | Column) -> DataFrame:
     """One row a key, the first by order."""
     return _ranked(df, key, F.col(order) if isinstance(order, str) else order)

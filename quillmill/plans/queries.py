@@ -39,7 +39,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as papers: a view that the SQL below repeats."""
-    d = table(spark, sf_dir, "documents")
+    d = tables.spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
     n = F.col("doc_id")
     third = F.when(n % 3 == 0, F.concat(F.lit(", Cyd C"), (n % 5).cast("string"))).otherwise("")
     return d.select(
@@ -123,7 +123,7 @@ def _hits(lang: str) -> str:
   SELECT doc_id, greatest(en, fr, de, es) AS best, en + fr + de + es AS total, CASE greatest(en, fr, de, es) WHEN 0 THEN NULL WHEN en THEN 'en' WHEN fr THEN 'fr' WHEN de THEN 'de' ELSE 'es' END AS best_lang
   FROM (SELECT doc_id, {_hits("en")} AS en, {_hits("fr")} AS fr, {_hits("de")} AS de, {_hits("es")} AS es FROM (SELECT doc_id, regexp_extract_all(lower(text), '\p{{L}}+') AS t FROM documents))) WHERE best > 0""")
 def detect_language(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", R.language("text").alias("x"))
+    d = tables.spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", R.language("text").alias("x"))
     return d.filter("x.lang is not null").select("doc_id", "x.lang", F.round("x.score", 6).alias("score"))
 
 
@@ -196,7 +196,7 @@ def sentence_segmentation(spark, sf_dir):
 FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, ':\s?[^.]*\.', '.', 'g'), 'i\.e\.?,?|e\.g\.?,?', 'meaning', 'g'), 'et\s+al\.\s?', 'et al', 'g'), 'cf\.', 'see', 'g'),
   '\(\s*([^\s()]+\s+){{5,}}[^\s()]+\s*\)', '', 'g'), '(?i)\((figure|table|meaning)[^)]*\)', '', 'g'), '(\(|\[)[0-9][0-9]?(\)|\])\s?', '', 'g') AS c FROM documents)""")
 def clean_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.clean_text("text")).alias("clean_md5"))
+    return tables.spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.md5(X.clean_text("text")).alias("clean_md5"))
 
 
 @query(f"WITH {PAPERS} SELECT doc_id, {FORMULA} AS formula FROM papers")
@@ -354,7 +354,7 @@ tf AS (SELECT doc_id, phrase, count(*) AS tf FROM g GROUP BY 1, 2), df AS (SELEC
 s AS (SELECT doc_id, phrase, round(tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1), 6) AS score FROM tf JOIN df USING (phrase))
 SELECT doc_id, phrase, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, phrase) AS rank FROM s) WHERE rank <= 2""")
 def generated_queries(spark, sf_dir):
-    return ranking.best_terms(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return ranking.best_terms(tables.spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def _found(query_text: str, where: str, order: str, top: int, min_df: float = 0.05) -> str:
