@@ -259,7 +259,8 @@ def _gather(kind: Kind, buckets: int) -> Callable:
         shift = np.cumsum([0, *sizes[:-1]])
         row = np.concatenate([h[2] + s for h, s in zip(held, shift, strict=True)])
         anchor, seg, start, length = (np.concatenate([h[k] for h in held]) for k in (3, 4, 5, 6))
-        both = mix(anchor) ^ seg
+        anchor = mix(anchor)  # anchors are least hashes, so their high bits are uneven; buckets go by those
+        both = anchor ^ seg
         order = np.lexsort((ids[row], both))
         low = np.empty(len(order), np.int64)
         if len(order):
