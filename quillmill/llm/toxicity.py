@@ -38,7 +38,7 @@ THRESHOLD = 0.7
 MIN_ROWS, MIN_WEIGHT, MOST_UNITS = 3, 2.5, 5000
 TREES, DEPTH, RATE, BINS = 80, 3, 0.15, 32
 NEAR_WORDS = 5
-KNOWN_TOKENS = 300_000
+KNOWN_TOKENS = 100_000
 #: Second-person words of the languages at hand, and signs that stand for letters.
 SECOND_PERSON = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch sie tú ti usted ustedes vosotros su".split())
 SIGNS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": "", "-": "", "_": "", ".": ""})
@@ -63,23 +63,25 @@ class Tokens:
 
     lexicon: dict[str, float]
     number: dict[str, int] = field(default_factory=dict)
-    facts: list[tuple] = field(default_factory=list)
+    facts: np.ndarray = field(default_factory=lambda: np.zeros((1024, 7), np.float32))
 
     def add(self, token: str) -> int:
         word = _EDGE.sub("", token)
         weight = max((self.lexicon.get(u, 0.0) for u in units_of(token)), default=0.0)
         letters = sum(c.isalpha() for c in token)
         signed = bool(_SIGNED.search(word.lower()))
-        self.facts.append((weight, weight > 0 and units_of(token)[0] in self.lexicon, signed, signed and weight > 0, letters >= 2 and word.isupper(), word.lower() in SECOND_PERSON, letters))
-        self.number[token] = len(self.facts) - 1
-        return len(self.facts) - 1
+        k = self.number[token] = len(self.number)
+        if k == len(self.facts):
+            self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)])
+        self.facts[k] = (weight, weight > 0 and units_of(token)[0] in self.lexicon, signed, signed and weight > 0, letters >= 2 and word.isupper(), word.lower() in SECOND_PERSON, letters)
+        return k
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        if len(self.facts) > KNOWN_TOKENS:
-            self.number, self.facts = {}, []
+        if len(self.number) > KNOWN_TOKENS:
+            self.number = {}
         get, add = self.number.get, self.add
         ids = [[x if (x := get(t)) is not None else add(t) for t in (text or "").split()] for text in texts]
-        facts = np.array(self.facts, np.float32).reshape(-1, 7)
+        facts = self.facts
         out = np.zeros((len(texts), FEATURES), np.float64)
         for row, own, text in zip(out, ids, texts, strict=True):
             if not text:
