@@ -38,7 +38,7 @@ THRESHOLD = 0.7
 MIN_ROWS, MIN_WEIGHT, MOST_UNITS = 3, 2.5, 5000
 TREES, DEPTH, RATE, BINS = 80, 3, 0.15, 32
 NEAR_WORDS = 5
-KNOWN_TOKENS = 100_000
+KNOWN_TOKENS = 200_000
 #: Second-person words of the languages at hand, and signs that stand for letters.
 SECOND_PERSON = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch sie tú ti usted ustedes vosotros su".split())
 SIGNS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": "", "-": "", "_": "", ".": ""})
@@ -66,14 +66,21 @@ class Tokens:
     facts: np.ndarray = field(default_factory=lambda: np.zeros((1024, 7), np.float32))
 
     def add(self, token: str) -> int:
-        word = _EDGE.sub("", token)
-        weight = max((self.lexicon.get(u, 0.0) for u in units_of(token)), default=0.0)
-        letters = sum(c.isalpha() for c in token)
-        signed = bool(_SIGNED.search(word.lower()))
         k = self.number[token] = len(self.number)
         if k == len(self.facts):
             self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)])
-        self.facts[k] = (weight, weight > 0 and units_of(token)[0] in self.lexicon, signed, signed and weight > 0, letters >= 2 and word.isupper(), word.lower() in SECOND_PERSON, letters)
+        get, word = self.lexicon.get, token.strip(".,;:!?()")
+        if word.isalpha():  # most tokens: no sign to look at
+            low = word.lower()
+            whole = get(low, 0.0)
+            weight = max(whole, get(f"{low[:5]}-", 0.0) if len(low) >= 5 else 0.0, get(f"{low[:6]}-", 0.0) if len(low) >= 6 else 0.0)
+            self.facts[k] = (weight, whole > 0, 0, 0, len(word) >= 2 and word.isupper(), low in SECOND_PERSON, len(word))
+            return k
+        word, units = _EDGE.sub("", token), units_of(token)
+        weight = max((get(u, 0.0) for u in units), default=0.0)
+        letters = sum(c.isalpha() for c in token)
+        signed = bool(_SIGNED.search(word.lower()))
+        self.facts[k] = (weight, bool(units) and units[0] in self.lexicon, signed, signed and weight > 0, letters >= 2 and word.isupper(), word.lower() in SECOND_PERSON, letters)
         return k
 
     def features(self, texts: list[str | None]) -> np.ndarray:
