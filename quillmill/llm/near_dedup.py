@@ -235,11 +235,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     band = classes.select("node", "row_key", F.explode("bands").alias("band"))
     full = band.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("low")).filter("n > 1")
     near = settle(band.join(full, "band").select("node", "row_key", "low", "n"))
-    groups = components(near.select(F.col("node").alias("a"), F.col("low").alias("b")))
-    sizes = groups.groupBy(F.col("label").alias("grp")).agg(F.count("*").alias("size"))
-    groups = settle(groups.select("node", F.col("label").alias("grp")).join(sizes, "grp").select("node", "grp", "size"))
-    fullest = near.groupBy("node").agg(F.sum("n").alias("fill")).join(groups.filter(F.col("size") > block), "node")
-    pivots = fullest.groupBy("grp").agg(F.max(F.struct("fill", "node")).alias("x")).select("grp", F.col("x.node").alias("pivot"))
+    # Buckets are linked through their least nodes alone: a class links those of its own buckets in a chain, which many
+    # classes of a group do alike, so a large group has few links.
+    held = settle(near.groupBy("node").agg(F.array_sort(F.collect_set("low")).alias("lows"), F.sum("n").alias("fill")))
+    pair = F.explode(F.arrays_zip(F.slice("lows", 1, F.size("lows") - 1).alias("a"), F.slice("lows", 2, F.size("lows")).alias("b")))
+    chain = held.filter(F.size("lows") > 1).select(pair.alias("x")).select("x.a", "x.b").distinct()
+    named = components(chain).select(F.col("node").alias("first"), "label")
+    groups = held.select("node", "fill", F.get("lows", F.lit(0)).alias("first")).join(named, "first", "left").select("node", "fill", F.coalesce("label", "first").alias("grp"))
+    sizes = groups.groupBy("grp").agg(F.count("*").alias("size"))
+    groups = settle(groups.join(sizes, "grp").select("node", "grp", "size", "fill"))
+    pivots = groups.filter(F.col("size") > block).groupBy("grp").agg(F.max(F.struct("fill", "node")).alias("x")).select("grp", F.col("x.node").alias("pivot"))
+    groups = groups.drop("fill")
     wanted = near.select(F.col("node").alias("doc_id"), "row_key", "node").distinct()
     sets = settle(full_sets(docs, wanted, width).dropDuplicates(["node"]))
     labels = components(link_table(sets, groups, pivots, percent, block))
