@@ -3,16 +3,15 @@
 A document's ids are cut into pieces of `size` ids and a rest. Pieces are dealt to groups by a hash; in each group they
 are taken by decreasing length and put into the first bin with room, which a tournament tree over the bins' room finds
 in log time. Only piece lengths and checksums are shuffled, never texts or ids. A group holds GROUP_DOCS documents' pieces
-on average whatever the input's size, so its memory doesn't grow with the input.
+on average whatever the input's size, so its memory doesn't grow with the input; repeated rows are dealt to groups apart.
 
 Defined results: a null or empty text is the end id alone. Repeated rows are packed as often as they occur. A null doc_id
-passes through. Other columns aren't read. Texts of any length are encoded whole.
+passes through. Other columns aren't read. Texts of any length are encoded whole, long runs of blanks too.
 """
 
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,49 +20,71 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, table, tune
+from .common import batches, id_text, table, tune
 
 SIZE = 2048
 END_ID = 1
 GROUP_DOCS = 4000
 TOKENIZER = "byte_bpe_50k.json"
-#: Fixed value: the pre-tokenizing pattern of this public byte-level vocabulary.
+#: Fixed value: the pre-tokenizing pattern of byte-level vocabularies (what the library's ByteLevel splits by).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A worker remembers the ids of so many words of at most so many characters; then it starts anew.
+KNOWN_WORDS, KNOWN_CHARS = 600_000, 64
 _encoders: dict = {}
 
 
-def _byte_letters() -> dict[str, int]:
+def _byte_letters() -> dict[int, str]:
     """Byte-level vocabularies write a byte that prints as itself, the others as letters from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
-def encoder(path: str | None = None):
-    """A function from text to ids (uint32): the merges of the tokenizers file, run by tiktoken (equal ids, several times faster)."""
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class Encoder:
+    """Ids by the tokenizers library, its model asked once for each distinct word.
+
+    A byte-level model merges inside words only, so a text's ids are its words' ids one after the other. Texts that hold an
+    added token, and files of any other make, go through the library whole.
+    """
+
+    def __init__(self, path: str):
+        import regex
+        import tokenizers
+
+        self.whole = tokenizers.Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        split = made.get("pre_tokenizer") or {}
+        model = made.get("model") or {}
+        self.by_word = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not made.get("normalizer") and model.get("type") == "BPE" and not model.get("dropout")
+        self.added = [x["content"] for x in made.get("added_tokens", [])]
+        self.words, self.model, self.letters, self.known = regex.compile(PATTERN).findall, self.whole.model, _byte_letters(), {}
+
+    def _word(self, word: str) -> bytes:
+        ids = np.array([x.id for x in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))], "<u4").tobytes()
+        if len(word) <= KNOWN_CHARS:
+            if len(self.known) >= KNOWN_WORDS:
+                self.known.clear()
+            self.known[word] = ids
+        return ids
+
+    def __call__(self, text: str) -> bytes:
+        """The ids, each in four little-endian bytes."""
+        if not self.by_word or any(x in text for x in self.added):
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        get, word = self.known.get, self._word
+        return b"".join([x if (x := get(w)) is not None else word(w) for w in self.words(text)])
+
+
+def encoder(path: str | None = None) -> Encoder:
+    """The encoder of a tokenizers file, made once a worker."""
     if path not in _encoders:
-        import tiktoken
-
         if path is None:
             import public_tokenizers
 
-            path_ = public_tokenizers.path(TOKENIZER)
+            _encoders[path] = Encoder(str(public_tokenizers.path(TOKENIZER)))
         else:
-            path_ = path
-        with open(path_, encoding="utf-8") as f:
-            kept = json.load(f)
-        letters = _byte_letters()
-        special = {x["content"]: x["id"] for x in kept.get("added_tokens", [])}
-        ranks = {bytes(letters[c] for c in w): i for w, i in kept["model"]["vocab"].items() if w not in special}
-        enc = tiktoken.Encoding("from_file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        found = re.compile("|".join(map(re.escape, special))) if special else None
-
-        def encode(text: str) -> np.ndarray:
-            if found is not None and found.search(text):
-                return np.array(enc.encode(text, allowed_special="all"), np.uint32)
-            return np.array(enc.encode_ordinary(text), np.uint32)
-
-        _encoders[path] = encode
+            _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
@@ -71,12 +92,12 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     """(doc_id, start, length, ids_crc32, doc_tokens): every document cut at multiples of size."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
-        for b in rows:
+        encode, last = encoder(tokenizer), np.array(end_id, "<u4").tobytes()
+        for b in batches(rows):
             out = [[], [], [], [], []]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.append(encode(text or ""), np.uint32(end_id)).astype("<u4")
-                raw, n = ids.tobytes(), len(ids)
+                raw = encode(text or "") + last
+                n = len(raw) // 4
                 for start in range(0, n, size):
                     end = min(n, start + size)
                     for c, v in zip(out, (doc, start, end - start, zlib.crc32(raw[4 * start : 4 * end]), n), strict=True):
@@ -127,7 +148,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         base = t.column("grp")[0].as_py() << 32
         return t.drop_columns(["grp"]).append_column("sequence_id", pa.array(at + base)).append_column("offset", pa.array(offset))
 
-    dealt = pieces(docs, id_col, text_col, size, end_id, tokenizer).withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    cut = pieces(docs, id_col, text_col, size, end_id, tokenizer)
+    # Equal rows are counted and numbered, so that many of them are dealt apart, and alike if a task runs again.
+    own = cut.groupBy(*cut.columns).agg(F.count("*").alias("copies")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    dealt = own.select(*cut.columns, F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "copy"), F.lit(groups)).alias("grp"))
     return dealt.groupBy("grp").applyInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
