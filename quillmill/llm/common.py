@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,8 +16,8 @@ from pyspark.sql import functions as F
 
 #: White space of the word and line contracts: space and the bytes 09 to 0D.
 BLANK = b" \t\n\x0b\x0c\r"
-#: Rows of an Arrow batch; bounds a Python worker's memory.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch; they bound a Python worker's memory.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -26,8 +28,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def tune(spark: SparkSession) -> None:
     """Small Arrow batches: texts are long, so a batch of the default 10,000 rows can take a worker's memory.
 
-    Workers also get the folder that holds this package on their path, as the driver has it.
+    A batch is bounded in bytes too; a longer text is a batch of its own. Workers also get the folder that holds this package
+    on their path, as the driver has it.
     """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     held = spark.sparkContext.environment.get("PYTHONPATH", "")
     if ROOT not in held.split(os.pathsep):
@@ -35,23 +39,28 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path under the cluster's shared folder (spark.checkpoint.dir); a local folder only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path under the cluster's shared folder, spark.checkpoint.dir.
+
+    Where no folder is set, a local run gets one of its own; a cluster must name one, as executors don't share local folders.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isEmpty():
-            spark.sparkContext.setCheckpointDir(f"file:///tmp/checkpoints/{uuid.uuid4().hex}")
-            held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = held.get()
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+        root = spark.sparkContext.getCheckpointDir()
     if "://" not in root:
-        root = f"file://{root}" if root.startswith("/") else root
+        root = "file://" + root.removeprefix("file:") if root.startswith(("/", "file:/")) else root
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write df once to the shared folder and read it back: later plans start from the files, whichever executor is lost."""
+def settle(df: DataFrame, *by: str) -> DataFrame:
+    """Write df once to the shared folder and read it back: later plans start from the files, whichever executor is lost.
+
+    by: columns whose values get folders of their own, so that filters on them read no other files.
+    """
     path = f"{shared_dir(df.sparkSession)}.parquet"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,14 +1,19 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a table sorted by line hash: (h1, h2, n, last, fresh), with n the documents that hold the line in that
-batch, last the largest doc_id among them and fresh whether no earlier run had the line. Each new batch is reduced to
-one row per line, merge-anti-joined with the runs there are (fresh tells what the anti join keeps) and added as a run of
-level 0. When a level has FANOUT runs, they are merged into one run of the next level, so the number of runs grows with
-the logarithm of the number of batches.
-
-Defined results: a null or empty text is one empty line. Every row of documents counts as a document, repeated rows too.
-Rows whose doc_id is null count towards a line's documents but are never its last holder and lose no line. Lines shorter
-than min_chars are never dropped. Extra columns of any name pass through.
+A run is a table (h1, h2, n, last) that is bucketed and sorted by a line's hash: n distinct documents of its batch hold the
+line, and last is the largest doc_id among them, or null if an earlier run had the line. Batches are ranges of doc_ids,
+the greatest first, so the first run that has a line also has the last document that holds it. Each new batch is reduced to
+one row a line and merge-anti-joined with the runs there are: what is left are its new lines, which name their last holder,
+the others only add to the counts. It then becomes a run of level 0. When a level has FANOUT runs, they are merged to one
+run of the next level. Runs are read bucket by bucket in their order, so old runs are neither shuffled nor sorted again.
+The merge of all runs says which lines go, and which document keeps each.
+
+Lines of a third of all documents: a line's rows are counted before they are shuffled. Of the lines that go, those with more
+than one row in HOT_SHARE (so there are fewer than HOT_SHARE of them) are sent to all tasks; only the others are shuffled.
+
+Defined results: a null or empty text is one empty line. A document is a doc_id: several rows of one doc_id count once for a
+line, and all lose the line if a larger doc_id holds it. Rows whose doc_id is null count for nothing and lose no line. Lines
+shorter than min_chars are never dropped. Extra columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -22,11 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLANK, fresh_name, id_text, settle, table, texts, tune
+from .common import BLANK, batches, fresh_name, id_text, parts, settle, shared_dir, table, texts, tune
 
-FANOUT = 3
+FANOUT = 2
 BATCHES = 4
+HOT_SHARE = 10_000
 KEY = ["h1", "h2"]
+#: Bucketed tables are read in their buckets' order, without another sort, while this is set.
+ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 def line_key(line: bytes) -> bytes:
@@ -41,7 +49,7 @@ def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
     """(h1, h2, doc_id): the distinct long lines of each document, as 128-bit hashes."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows:
+        for b in batches(rows):
             keys, owner = [], []
             for doc, text in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
                 own = {k for line in text.split(b"\n") if len(line) >= min_chars and long_enough(k := line_key(line), min_chars)}
@@ -56,66 +64,99 @@ def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
 class LineRuns:
     """The levelled runs; levels[i] lists the runs of level i, oldest first."""
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
-        self.spark, self.fanout, self.levels = spark, fanout, [[]]
+    def __init__(self, spark: SparkSession, buckets: int, fanout: int = FANOUT):
+        self.spark, self.buckets, self.fanout, self.levels = spark, buckets, max(2, fanout), [[]]
 
     def runs(self) -> list[DataFrame]:
-        return [r for level in self.levels for r in level]
-
-    def _all(self) -> DataFrame | None:
-        found = self.runs()
-        out = found[0] if found else None
-        for r in found[1:]:
-            out = out.unionByName(r)
+        """All runs, the oldest first: those of higher levels are older."""
+        return [r for level in reversed(self.levels) for r in level]
+
+    def _written(self, run: DataFrame) -> DataFrame:
+        """A run in the shared folder: one sorted file a bucket. The catalog's entry isn't needed after it is read back."""
+        path = shared_dir(self.spark)
+        name = f"line_run_{path.rsplit('/', 1)[-1]}"
+        held = self.spark.conf.get(ORDERED, "false")
+        self.spark.conf.set(ORDERED, "true")
+        try:
+            run.select(*KEY, "n", "last").write.format("parquet").bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", path).saveAsTable(name)
+        finally:
+            self.spark.conf.set(ORDERED, held)
+        out = self.spark.table(name)
+        self.spark.sql(f"DROP TABLE {name}")
         return out
 
+    def fresh(self, run: DataFrame) -> DataFrame:
+        """run without the last holders of lines that some run has: a merge join with each run."""
+        known = []
+        for k, r in enumerate(self.runs()):
+            known.append(F.col(f"known{k}").isNotNull())
+            run = run.join(r.select(*KEY, F.lit(True).alias(f"known{k}")), KEY, "left")
+        some = F.lit(False)
+        for x in known:
+            some = some | x
+        return run.select(*KEY, "n", F.when(~some, F.col("last")).alias("last"))
+
     def add(self, lines: DataFrame) -> DataFrame:
-        """Add a batch of (h1, h2, doc_id); returns its run, whose fresh rows are the lines that no run had."""
-        run = lines.groupBy(*KEY).agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
-        if (known := self._all()) is None:
-            run = run.withColumn("fresh", F.lit(True))
-        else:
-            known = known.select(*KEY).distinct().withColumn("known", F.lit(True))
-            run = run.join(known, KEY, "left").select(*KEY, "n", "last", F.col("known").isNull().alias("fresh"))
-        self.levels[0].append(run := settle(run.sortWithinPartitions(*KEY)))
+        """Add a batch of distinct (h1, h2, doc_id), all less than those before; returns its run."""
+        run = self._written(self.fresh(lines.groupBy(*KEY).agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))))
+        self.levels[0].append(run)
         self.compact()
         return run
 
     def compact(self) -> None:
-        for i, level in enumerate(self.levels):
-            if len(level) >= self.fanout:
+        i = 0
+        while i < len(self.levels):
+            if len(self.levels[i]) >= self.fanout:
                 if i + 1 == len(self.levels):
                     self.levels.append([])
-                self.levels[i + 1].append(settle(self._merged(level).sortWithinPartitions(*KEY)))
+                self.levels[i + 1].append(self._merged(self.levels[i]))
                 self.levels[i] = []
-
-    @staticmethod
-    def _merged(level: list[DataFrame]) -> DataFrame:
-        out = level[0]
-        for r in level[1:]:
-            out = out.unionByName(r)
-        return out.groupBy(*KEY).agg(F.sum("n").alias("n"), F.max("last").alias("last"), F.max("fresh").alias("fresh"))
+            i += 1
+
+    def _merged(self, runs: list[DataFrame]) -> DataFrame:
+        """One run of several, oldest first, two by two: a merge of sorted buckets."""
+        out = runs[0]
+        for r in runs[1:]:
+            other = r.select(*KEY, F.col("n").alias("n2"), F.col("last").alias("last2"))
+            none = F.lit(0).cast("long")
+            out = self._written(out.join(other, KEY, "full_outer").select(*KEY, (F.coalesce("n", none) + F.coalesce("n2", none)).alias("n"), F.coalesce("last", "last2").alias("last")))
+        return out
 
     def totals(self) -> DataFrame:
-        return self._merged(self.runs())
+        """All runs as one; last is never null there."""
+        self.levels = [[self._merged(self.runs())]]
+        return self.levels[0][0]
+
+
+def lost_lines(spark: SparkSession, docs: DataFrame, min_chars: int, min_docs: int, n_batches: int) -> DataFrame:
+    """(doc_id, h1, h2): the lines that documents lose. docs: (doc_id, text)."""
+    at = F.percentile_approx("doc_id", [k / n_batches for k in range(1, n_batches)], 1000) if n_batches > 1 else F.array().cast("array<long>")
+    bounds = sorted(set(docs.agg(at.alias("at")).first().at or []))
+    batch = sum((F.when(F.col("doc_id") < b, 1).otherwise(0) for b in bounds), F.lit(0))
+    # Distinct by all three columns: a frequent line is dealt by its documents.
+    lines = settle(line_hashes(docs.filter("doc_id is not null"), min_chars).distinct().withColumn("batch", batch), "batch")
+    runs = LineRuns(spark, parts(docs))
+    for k in range(len(bounds) + 1):
+        runs.add(lines.filter(F.col("batch") == k).drop("batch"))
+    common = settle(runs.totals().filter(F.col("n") >= min_docs))
+    limit = max(min_docs, lines.count() // HOT_SHARE)
+    hot = F.broadcast(common.filter(F.col("n") > limit).select(*KEY, "last"))  # fewer than HOT_SHARE rows
+    rest = lines.join(hot, KEY, "left_anti").join(common.filter(F.col("n") <= limit).select(*KEY, "last"), KEY)
+    return lines.join(hot, KEY).select("doc_id", *KEY, "last").unionByName(rest.select("doc_id", *KEY, "last")).filter(F.col("doc_id") < F.col("last")).drop("last")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, n_batches: int = BATCHES) -> DataFrame:
     """docs with text_col rewritten, and two more columns, n_lines and n_dropped (renamed with leading _ if docs has them)."""
     tune(docs.sparkSession)
-    lines = settle(line_hashes(id_text(docs, id_col, text_col), min_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(n_batches))))
-    runs = LineRuns(docs.sparkSession)
-    for i in range(n_batches):
-        runs.add(lines.filter(F.col("batch") == i).drop("batch"))
-    common = runs.totals().filter(F.col("n") >= min_docs).select(*KEY, "last")
-    lost = lines.join(common, KEY).filter(F.col("doc_id") < F.col("last")).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct(*KEY)).alias("_lost"))
+    lost = lost_lines(docs.sparkSession, id_text(docs, id_col, text_col), min_chars, min_docs, n_batches)
+    lost = lost.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct(*KEY)).alias("_lost"))
     extra = fresh_name(docs, "lost")
     n_lines, n_dropped = (c if c not in {x.lower() for x in docs.columns} else fresh_name(docs, c) for c in ("n_lines", "n_dropped"))
     joined = docs.join(lost.select(F.col("_id").alias(f"{extra}_id"), F.col("_lost").alias(extra)), F.col(id_col) == F.col(f"{extra}_id"), "left").drop(f"{extra}_id")
     at = docs.columns.index(text_col)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows:
+        for b in batches(rows, column=text_col):
             out, n, gone = [], [], []
             drops = b.column(b.num_columns - 1)
             for text, lost in zip(texts(b.column(at)), drops, strict=True):
