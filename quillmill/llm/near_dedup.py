@@ -1,23 +1,26 @@
 """Near-duplicate documents by min-max hashing, confirmed on full shingle sets.
 
 Each document's distinct word shingles are hashed once; under each permutation both the least and the greatest value are
-kept, so half as many permutations give a signature. Bands of ROWS values make buckets; there are so many bands that a
-pair at the asked similarity shares no bucket with a chance below MISS. Documents with equal sets are one class first. Classes that share buckets, taken transitively, are a candidate group; within groups every pair's exact
-similarity is computed from the full sets, in blocks of bounded size, and linked classes' components are found.
+kept, so half as many permutations give a signature. Bands of the signature make buckets; there are so many bands that a
+pair at the asked similarity shares no bucket with a chance below MISS. Texts with equal sets are one class first, known by
+its set's hash of 128 bits. Classes that share buckets, taken transitively, are a candidate group; within groups every
+pair's exact similarity is computed from the full sets, in blocks of bounded size, and linked classes' components are found.
 
-Groups of more than BLOCK classes are cut into blocks that are compared block by block. First each member is compared
-with one pivot, the member with the fullest buckets; those linked with it needn't be compared with each other.
+Groups of more than BLOCK classes are cut into blocks that are compared two by two, each pair of blocks a task of its own.
+First each member is compared with one pivot, the member with the fullest buckets; those linked with it needn't be compared
+with each other, only with those that aren't.
 
 Defined results: null or blank texts have no shingles, are linked with nothing and are their own component. Texts with
 fewer words than a shingle are one shingle. Null doc_ids count in a class but never name it; a row without any named
 member has itself (null) as component and is kept. Repeated rows (equal doc_id and text) share a class and are all kept
-or all not. Other columns aren't read.
+or all not; different texts under one doc_id are each compared. Other columns aren't read.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,18 +31,29 @@ from .anchors import mix, word_units
 from .common import batches, id_text, parts, settle, table, tune, utf8
 from .components import components
 
-ROWS, MISS = 5, 1e-6
-BLOCK = 2048
+MISS = 1e-6
+BLOCK = 128
 SHINGLES_AT_ONCE = 1 << 16
-_ODD = np.random.default_rng(77).integers(1 << 60, 1 << 63, 1000).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def bands_for(percent: int) -> int:
-    """How many bands keep the chance to miss a pair of this similarity below MISS."""
-    alike = (percent / 100) ** ROWS
-    return 1 if alike >= 1 else min(len(_ODD) * 2 // ROWS, math.ceil(math.log(MISS) / math.log(1 - alike)))
+@lru_cache(4)
+def multipliers(n: int) -> np.ndarray:
+    """Odd numbers, each a permutation of the 64-bit hashes."""
+    return np.random.default_rng(77).integers(1 << 60, 1 << 63, n).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def layout(percent: int) -> tuple[int, int]:
+    """(rows, bands) that keep the chance to miss a pair of this similarity below MISS: long bands while they are few."""
+    if not 1 <= percent <= 100:
+        raise ValueError("percent is from 1 to 100")
+    for rows in (5, 4, 3, 2, 1):
+        alike = (percent / 100) ** rows
+        bands = 1 if alike >= 1 else math.ceil(math.log(MISS) / math.log(1 - alike))
+        if bands <= 400 or rows == 1:
+            break
+    return rows, bands
 
 
 def shingles(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,6 +80,7 @@ def shingles(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray,
 def signatures(row: np.ndarray, h: np.ndarray, values: int) -> np.ndarray:
     """Per row that has shingles, in order: least and greatest value under each permutation, side by side."""
     perms = -(-values // 2)
+    odd = multipliers(perms)
     head = np.flatnonzero(np.diff(row, prepend=-1))
     out = np.empty((len(head), 2 * perms), np.uint64)
     a = 0
@@ -74,26 +89,27 @@ def signatures(row: np.ndarray, h: np.ndarray, values: int) -> np.ndarray:
         lo, hi = head[a], head[b] if b < len(head) else len(h)
         own, part = h[lo:hi], head[a:b] - lo
         for j in range(perms):
-            x = own * _ODD[j]
+            x = own * odd[j]
             out[a:b, 2 * j] = np.minimum.reduceat(x, part)
             out[a:b, 2 * j + 1] = np.maximum.reduceat(x, part)
         a = b
     return out
 
 
-def bands(sig: np.ndarray, n_bands: int) -> np.ndarray:
+def bands(sig: np.ndarray, rows: int, n_bands: int) -> np.ndarray:
     """A hash of each band, with the band's number in it."""
     out = np.empty((len(sig), n_bands), np.uint64)
     for k in range(n_bands):
         x = np.full(len(sig), k + 1, np.uint64)
-        for j in range(ROWS):
-            x = mix(x * np.uint64(0x9E3779B97F4A7C15) + sig[:, ROWS * k + j])
+        for j in range(rows):
+            x = mix(x * np.uint64(0x9E3779B97F4A7C15) + sig[:, rows * k + j])
         out[:, k] = x
     return out
 
 
-def signed(docs: DataFrame, width: int, n_bands: int) -> DataFrame:
+def signed(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(doc_id, row_key, n_shingles, h1, h2, bands); h1 and h2 hash the set, null if it's empty."""
+    n_rows, n_bands = layout(percent)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(rows, 4 << 20):
@@ -105,7 +121,7 @@ def signed(docs: DataFrame, width: int, n_bands: int) -> DataFrame:
             if len(head):
                 for s, odd in zip(sums, (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9), strict=True):
                     s[some] = np.add.reduceat(mix(h * np.uint64(odd)), head)
-            made = bands(signatures(row, h, ROWS * n_bands), n_bands) if len(head) else np.zeros((0, n_bands), np.uint64)
+            made = bands(signatures(row, h, n_rows * n_bands), n_rows, n_bands) if len(head) else np.zeros((0, n_bands), np.uint64)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.append(0, some * n_bands)).astype(np.int32)), pa.array(made.view(np.int64).ravel()))
             yield pa.record_batch([b.column(0), b.column(2), pa.array(n.astype(np.int64)), *(pa.array(s.view(np.int64), mask=~some) for s in sums), lists], names=["doc_id", "row_key", "n_shingles", "h1", "h2", "bands"])
 
@@ -193,35 +209,42 @@ def link_table(sets: DataFrame, groups: DataFrame, pivots: DataFrame, percent: i
             out[1] += node[part[label[far]]].tolist()
         return pa.table([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
 
-    small = members.filter(F.col("size") <= block).select(F.col("grp").alias("task"), "node", "set")
-    large = members.filter(F.col("size") > block)
-    tasks, links = small, None
+    salts = 32  # a group may hold a third of all rows
+
+    def salted(rows: DataFrame, facts: DataFrame) -> DataFrame:
+        """rows joined with the few facts of their group, each group dealt to many tasks."""
+        facts = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int")).join(facts, ["grp", "salt"]).drop("salt")
+
+    tasks, links = members.filter(F.col("size") <= block).select(F.col("grp").alias("task"), "node", "set", "size"), None
     if not groups.filter(F.col("size") > block).isEmpty():
         heads = pivots.join(sets, F.col("pivot") == F.col("node")).select("grp", "pivot", F.col("set").alias("pivot_set"))
 
         def against(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in rows:
                 told = []
-                for own, pivot in zip(b.column(2), b.column(5), strict=True):
+                for own, pivot in zip(b.column(2), b.column(4), strict=True):
                     x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (own, pivot))
                     n = len(np.intersect1d(x, y, assume_unique=True))
                     told.append(bool(similar(np.array(n), np.array(len(x)), np.array(len(y)), percent)))
-                yield pa.record_batch([b.column(0), b.column(1), b.column(2), b.column(3), b.column(4), pa.array(told)], names=["node", "grp", "set", "size", "pivot", "near"])
+                yield pa.record_batch([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(told)], names=["node", "grp", "set", "pivot", "near"])
 
-        # Salted: a group may hold a third of all rows.
-        salts = 32
-        heads = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        dealt = large.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int")).join(heads, ["grp", "salt"]).select("node", "grp", "set", "size", "pivot", "pivot_set")
-        judged = settle(dealt.mapInArrow(against, "node long, grp long, set binary, size long, pivot long, near boolean"))
+        dealt = salted(members.filter(F.col("size") > block), heads).select("node", "grp", "set", "pivot", "pivot_set")
+        judged = settle(dealt.mapInArrow(against, "node long, grp long, set binary, pivot long, near boolean"))
         links = judged.filter("near").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-        blocks = F.ceil(F.col("size") / block).cast("int")
-        at = F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int")
-        # Blocks of those near the pivot are 0 to k-1, of the others k to 2k-1; two blocks of the first kind needn't meet.
-        mine = F.when(F.col("near"), at).otherwise(at + blocks)
-        other = F.explode(F.when(F.col("near"), F.sequence(blocks, 2 * blocks - 1)).otherwise(F.sequence(F.lit(0), 2 * blocks - 1)))
-        met = judged.select("node", "set", "grp", mine.alias("mine"), other.alias("other"))
-        tasks = small.unionByName(met.select(F.xxhash64("grp", F.least("mine", "other"), F.greatest("mine", "other"), F.lit("blocks")).alias("task"), "node", "set"))
-    found = tasks.withColumn("bucket", F.pmod(F.xxhash64("task"), F.lit(keys))).groupBy("bucket").applyInArrow(kernel, "a long, b long")
+        # Blocks of those near the pivot are 0 to k-1, of the others k to k+m-1; two blocks of the first kind needn't meet.
+        n_blocks = lambda near: F.ceil(F.sum(F.when(F.col("near") == near, 1).otherwise(0)) / block).cast("int")
+        counts = settle(judged.groupBy("grp").agg(n_blocks(True).alias("k"), n_blocks(False).alias("m")).filter("m > 0"))
+        at = lambda n: F.pmod(F.xxhash64("node", F.lit(1)), F.greatest(F.col(n), F.lit(1))).cast("int")
+        mine = F.when(F.col("near"), at("k")).otherwise(at("m") + F.col("k"))
+        last = F.col("k") + F.col("m") - 1
+        other = F.explode(F.when(F.col("near"), F.sequence("k", last)).otherwise(F.sequence(F.lit(0), last)))
+        met = salted(judged, counts).select("node", "set", "grp", mine.alias("mine"), other.alias("other"))
+        met = met.select(F.xxhash64("grp", F.least("mine", "other"), F.greatest("mine", "other"), F.lit("blocks")).alias("task"), "node", "set", F.lit(2 * block).cast("long").alias("size"))
+        tasks = tasks.unionByName(met)
+    # Small groups share a call of the kernel, the others have one of their own.
+    bucket = F.when(F.col("size") <= 32, F.pmod(F.xxhash64("task"), F.lit(keys))).otherwise(F.xxhash64("task", F.lit("own")))
+    found = tasks.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(kernel, "a long, b long")
     return settle(found if links is None else found.unionByName(links))
 
 
@@ -229,27 +252,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, row_key, n_shingles, component_id, kept): a row for each row of docs; row_key tells rows of equal id apart."""
     tune(docs.sparkSession)
     docs = id_text(docs, id_col, text_col).withColumn("row_key", F.xxhash64("doc_id", "text"))
-    sig = settle(signed(docs, width, bands_for(percent)))
-    first = F.min(F.struct(F.col("doc_id").alias("node"), "row_key", "bands"))
-    classes = settle(sig.filter("h1 is not null and doc_id is not null").groupBy("h1", "h2").agg(first.alias("x")).select("h1", "h2", "x.*"))
-    band = classes.select("node", "row_key", F.explode("bands").alias("band"))
-    full = band.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("low")).filter("n > 1")
-    near = settle(band.join(full, "band").select("node", "row_key", "low", "n"))
+    sig = settle(signed(docs, width, percent))
+    first = F.min(F.struct("doc_id", "row_key", "bands"))
+    classes = sig.filter("h1 is not null and doc_id is not null").groupBy("h1", "h2").agg(first.alias("x")).select("h1", "h2", "x.*")
+    # Numbers of classes: written once with them, so they are the same whoever reads them.
+    classes = settle(classes.withColumn("node", F.monotonically_increasing_id()))
+    band = classes.select("node", F.explode("bands").alias("band"))
+    full = settle(band.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("low")).filter("n > 1"))
     # Buckets are linked through their least nodes alone: a class links those of its own buckets in a chain, which many
     # classes of a group do alike, so a large group has few links.
-    held = settle(near.groupBy("node").agg(F.array_sort(F.collect_set("low")).alias("lows"), F.sum("n").alias("fill")))
+    held = settle(band.join(full, "band").groupBy("node").agg(F.array_sort(F.collect_set("low")).alias("lows"), F.sum("n").alias("fill")))
     pair = F.explode(F.arrays_zip(F.slice("lows", 1, F.size("lows") - 1).alias("a"), F.slice("lows", 2, F.size("lows")).alias("b")))
     chain = held.filter(F.size("lows") > 1).select(pair.alias("x")).select("x.a", "x.b").distinct()
     named = components(chain).select(F.col("node").alias("first"), "label")
-    groups = held.select("node", "fill", F.get("lows", F.lit(0)).alias("first")).join(named, "first", "left").select("node", "fill", F.coalesce("label", "first").alias("grp"))
-    sizes = groups.groupBy("grp").agg(F.count("*").alias("size"))
-    groups = settle(groups.join(sizes, "grp").select("node", "grp", "size", "fill"))
-    pivots = groups.filter(F.col("size") > block).groupBy("grp").agg(F.max(F.struct("fill", "node")).alias("x")).select("grp", F.col("x.node").alias("pivot"))
-    groups = groups.drop("fill")
-    wanted = near.select(F.col("node").alias("doc_id"), "row_key", "node").distinct()
+    groups = held.select("node", "fill", F.get("lows", F.lit(0)).alias("first")).join(named, "first", "left")
+    groups = settle(groups.select("node", "fill", F.coalesce("label", "first").alias("grp")))
+    sizes = settle(groups.groupBy("grp").agg(F.count("*").alias("size"), F.max(F.struct("fill", "node")).alias("x")))
+    pivots = sizes.filter(F.col("size") > block).select("grp", F.col("x.node").alias("pivot"))
+    groups = settle(groups.join(sizes.select("grp", "size"), "grp").select("node", "grp", "size"))
+    wanted = classes.select("doc_id", "row_key", "node").join(held.select("node"), "node", "left_semi")
     sets = settle(full_sets(docs, wanted, width).dropDuplicates(["node"]))
     labels = components(link_table(sets, groups, pivots, percent, block))
-    named = classes.select("h1", "h2", "node").join(labels, "node", "left").select("h1", "h2", F.coalesce("label", "node").alias("component"))
+    # A component is named by the least doc_id of its classes.
+    least = settle(labels.join(classes.select("node", "doc_id"), "node").groupBy("label").agg(F.min("doc_id").alias("component")))
+    named = classes.select("h1", "h2", "node", "doc_id").join(labels.join(least, "label").select("node", "component"), "node", "left").select("h1", "h2", F.coalesce("component", "doc_id").alias("component"))
     out = sig.select("doc_id", "row_key", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "row_key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
