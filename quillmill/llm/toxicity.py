@@ -7,11 +7,12 @@ are split by a hash in halves: the trees see each half with the lexicon of the o
 scores from trees of the other, so neither learns from its own labels. The model in use has the lexicon and the trees of
 both halves.
 
-The fit uses at most SAMPLE_ROWS labelled rows (those with the least hash of doc_id); their ids are sent to all tasks, a
-few hundred kB. Scoring reads every whole text and shuffles nothing.
+The fit uses at most SAMPLE_ROWS labelled rows (those with the least hash of doc_id, one row of each); their ids are sent to
+all tasks, a few hundred kB. The lexicon has every unit of the sample that passes its thresholds. Scoring reads every whole
+text and shuffles nothing.
 
 Defined results: null and empty texts have all-zero features and get the model's score for them. Labels that are null are
-left out; of several labels of a doc_id the greatest counts. Without labelled rows of both classes every score is the
+left out; of several labels of a doc_id the greatest counts, of several texts of one the least is learned from. Without labelled rows of both classes every score is the
 share of toxic ones (0 without rows). A null doc_id is scored and not held out. Repeated rows are scored alike. Extra
 columns of any name pass through.
 """
@@ -30,12 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_name, table, tune
+from .common import batches as cut_batches, fresh_name, settle, table, tune
 
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.7
-#: Lexicon units need so many toxic rows and so high a log-odds weight; at most so many are kept.
-MIN_ROWS, MIN_WEIGHT, MOST_UNITS = 3, 2.5, 5000
+#: Lexicon units need so many toxic rows of the sample and so high a log-odds weight.
+MIN_ROWS, MIN_WEIGHT = 3, 2.5
 TREES, DEPTH, RATE, BINS = 80, 3, 0.15, 32
 NEAR_WORDS = 5
 KNOWN_TOKENS = 200_000
@@ -74,13 +75,13 @@ class Tokens:
             low = word.lower()
             whole = get(low, 0.0)
             weight = max(whole, get(f"{low[:5]}-", 0.0) if len(low) >= 5 else 0.0, get(f"{low[:6]}-", 0.0) if len(low) >= 6 else 0.0)
-            self.facts[k] = (weight, whole > 0, 0, 0, len(word) >= 2 and word.isupper(), low in SECOND_PERSON, len(word))
+            self.facts[k] = (weight, whole > 0, 0, 0, len(word) >= 2 and word.isupper(), low in SECOND_PERSON, sum(map(str.isupper, word)))
             return k
         word, units = _EDGE.sub("", token), units_of(token)
         weight = max((get(u, 0.0) for u in units), default=0.0)
         letters = sum(c.isalpha() for c in token)
         signed = bool(_SIGNED.search(word.lower()))
-        self.facts[k] = (weight, bool(units) and units[0] in self.lexicon, signed, signed and weight > 0, letters >= 2 and word.isupper(), word.lower() in SECOND_PERSON, letters)
+        self.facts[k] = (weight, bool(units) and units[0] in self.lexicon, signed, signed and weight > 0, letters >= 2 and word.isupper(), word.lower() in SECOND_PERSON, sum(map(str.isupper, token)))
         return k
 
     def features(self, texts: list[str | None]) -> np.ndarray:
@@ -106,7 +107,7 @@ class Tokens:
             else:
                 near = 0
             hits, strong = int(hit.sum()), int((f[:, 0] >= 4).sum())
-            upper = sum(map(str.isupper, text)) if any(f[:, 4]) else 0
+            upper = float(f[:, 6].sum())
             row[:] = (
                 math.log1p(n), hits / n, strong / n, math.log1p(hits), math.log1p(strong), f[:, 0].max(initial=0), f[:, 0].sum() / n, len({own[i] for i in np.flatnonzero(hit)}), f[:, 1].sum() / n, math.log1p(f[:, 1].sum()),
                 near / n, math.log1p(near), you.sum() / n, f[:, 4].sum() / n, upper / chars, text.count("!") / chars, text.count("?") / chars, (text.count("!!") + text.count("??") + text.count("...")) / n, f[:, 2].sum() / n, f[:, 3].sum() / n,
@@ -197,7 +198,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
     sample = sample.filter(~held_out("id")).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     half = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(2))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id").select("text", F.col("y").cast("int").alias("y"), half.cast("int").alias("half"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id")
+    rows = rows.groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y"))  # one row an id, so at most sample_rows
+    rows = settle(rows.select("text", F.col("y").cast("int").alias("y"), half.cast("int").alias("half")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = [Counter() for _ in range(4)]
@@ -211,9 +214,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     names = ["clean0", "toxic0", "clean1", "toxic1"]
     counted = rows.mapInArrow(count, "unit string, clean0 long, toxic0 long, clean1 long, toxic1 long").groupBy("unit").agg(*(F.sum(c).alias(c) for c in names))
-    share = lambda t, c: (t + 0.5) / (c + 0.5)  # noqa: E731  (for given totals the weight rises with it)
-    odds = F.greatest(share(F.col("toxic0"), F.col("clean0")), share(F.col("toxic1"), F.col("clean1")), share(F.col("toxic0") + F.col("toxic1"), F.col("clean0") + F.col("clean1")))
-    found = counted.filter((F.col("unit") == "") | (F.col("toxic0") + F.col("toxic1") >= MIN_ROWS)).orderBy((F.col("unit") == "").desc(), odds.desc(), "unit").limit(MOST_UNITS + 1).collect()
+    counted = settle(counted)
+    total = counted.filter("unit = ''").first()
+
+    def likely(halves: tuple[int, ...]) -> F.Column:
+        toxic, clean = (sum((F.col(f"{kind}{h}") for h in halves), F.lit(0)) for kind in ("toxic", "clean"))
+        m, n = (sum(total[f"{kind}{h}"] for h in halves) if total else 0 for kind in ("toxic", "clean"))
+        return F.log((toxic + 0.5) / (m + 1)) - F.log((clean + 0.5) / (n + 1)) >= MIN_WEIGHT - 1e-9
+
+    # What some lexicon holds: units of a bounded sample, of MIN_ROWS of its toxic rows or more each.
+    some = (F.col("toxic0") + F.col("toxic1") >= MIN_ROWS) & (likely((0,)) | likely((1,)) | likely((0, 1)))
+    found = sorted(counted.filter((F.col("unit") == "") | some).collect(), key=lambda r: r.unit)
 
     def learn(halves: tuple[int, ...], least: int) -> dict[str, float]:
         clean, toxic = ({r.unit: sum(r[f"{kind}{h}"] for h in halves) for r in found} for kind in ("clean", "toxic"))
@@ -257,7 +268,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(model.lexicon)
-        for b in batches:
+        for b in cut_batches(batches, column=text_col):
             yield pa.record_batch([*b.columns, pa.array(model.scores(tokens.features(b.column(at).to_pylist())))], names=names)
 
     schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
