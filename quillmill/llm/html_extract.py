@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -51,6 +52,7 @@ class _Parser(HTMLParser):
         self.blocks: list[Block] = []
         self.parts: list[str] = []
         self.linked = self.silent = self.links = 0
+        self.there: Counter[str] = Counter()  # open elements by tag
 
     def flush(self) -> None:
         if self.parts:
@@ -63,15 +65,15 @@ class _Parser(HTMLParser):
             self.parts.append(" ")
         if tag in BLOCK_TAGS:
             self.flush()
-            if any(t == "p" for t, _ in self.open[-8:]):
-                self._close("p")
+            self._close("p")
             if tag in ENDS and self.open:
                 while self.open and self.open[-1][0] in ENDS[tag]:
                     self._pop()
         if tag in VOID:
             return
-        words = tuple(w for k, v in attrs if v and k in ("class", "id", "role", "itemprop") for w in _PART.findall(v.lower())[:8])
+        words = tuple(w for k, v in attrs if v and k in ("class", "id", "role", "itemprop") for w in _PART.findall(v.lower()))
         self.open.append((tag, words))
+        self.there[tag] += 1
         self.silent += tag in SILENT
         self.links += tag == "a"
 
@@ -82,12 +84,13 @@ class _Parser(HTMLParser):
 
     def _pop(self) -> str:
         tag, _ = self.open.pop()
+        self.there[tag] -= 1
         self.silent -= tag in SILENT
         self.links -= tag == "a"
         return tag
 
     def _close(self, tag) -> None:
-        if any(t == tag for t, _ in self.open):
+        if self.there[tag] > 0:
             while self._pop() != tag:
                 pass
 
@@ -127,7 +130,7 @@ def features(blocks: list[Block]) -> list[list[str]]:
         holders = [t for t, _ in b.path if t in BLOCK_TAGS]
         f |= {f"under={holders[-2] if len(holders) > 1 else 'none'}", f"deep={min(4, len(holders) - 1 - max((k for k, t in enumerate(holders) if t in ('article', 'main')), default=-1))}"}
         f |= {f"near={w}" for w in next((ws for _, ws in reversed(b.path) if ws), ()) if not w.isdigit()}
-        if any(w.strip(".,:;!?()").lower() in CUES for w in words[:40]):
+        if any(w.strip(".,:;!?()").lower() in CUES for w in words):
             f.add("cue")
         if "©" in b.text or "|" in b.text or "·" in b.text or "»" in b.text:
             f.add("sign")
