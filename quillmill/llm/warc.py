@@ -18,6 +18,7 @@ import base64
 import hashlib
 import io
 import json
+import re
 import struct
 import uuid
 import zipfile
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, shared_dir, table, texts, tune
+from .common import batches as cut_batches, settle, shared_dir, table, texts, tune
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 ARCHIVE_BYTES = 16 << 20
@@ -187,7 +188,8 @@ class ArchiveReader:
 def _open(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    # The same store under the name that this library has for it.
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", uri))
 
 
 def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -198,8 +200,12 @@ def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", url_col
     """
     tune(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload")).withColumn("sha", F.sha1("payload"))
-    last = rows.groupBy("sha").agg(F.max("page_id").alias("last"))
-    rows = rows.join(last, "sha").withColumn("revisit", (F.octet_length("payload") >= min_bytes) & F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")))
+    # Which rows are revisits is found from ids and digests alone. A payload that very many pages have is a hot key there, of
+    # two tables that are read from files, so that Spark can split it; the payloads themselves are dealt by page.
+    ids = settle(rows.filter(F.octet_length("payload") >= min_bytes).select("page_id", "sha"))
+    last = settle(ids.groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1 and last is not null").drop("n"))
+    again = ids.join(last, "sha").filter(~F.col("page_id").eqNullSafe(F.col("last"))).select(F.col("page_id").alias("_page"), F.col("sha").alias("_sha"), "last").distinct()
+    rows = rows.join(again, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("sha") == F.col("_sha")), "left").withColumn("revisit", F.col("last").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = _open(root)
@@ -212,7 +218,7 @@ def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", url_col
                 f.write(writer.close())
             made.append((f"{root}/{name}", len(writer.index)))
 
-        for b in batches:
+        for b in cut_batches(batches, column="payload"):
             for page, url, payload, last, revisit in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b.column(2)), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
                 writer = writer or ArchiveWriter()
                 if writer.add(page, url, payload, payload_digest(payload), last if revisit else None, revisit) >= archive_bytes:
