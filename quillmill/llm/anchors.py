@@ -12,7 +12,7 @@ by content first, which loses no window:
    and brought together by anchor, where a kernel (suffix sorting or an index) finds windows that segments share. Anchors
    with very many distinct segments are taken window by window, dealt by the window's own hash.
 
-Anchors and segments are compared by hashes of 96 bits and more together; kernels compare units.
+Whole segments are compared by the hashes of their anchor and of themselves, 128 bits together; kernels compare units.
 """
 
 from __future__ import annotations
@@ -215,11 +215,11 @@ def bucket_of(anchor: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _block(anchor: np.ndarray, seg: np.ndarray, row: np.ndarray, start: np.ndarray, length: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> bytes:
-    """A block of segments, in the order of rows and places: 5 bytes of each anchor, 6 of each segment, and differences."""
+    """A block of segments, in the order of rows and places: the hashes of anchors and segments, and differences."""
     used, row = np.unique(row, return_inverse=True)
     step = np.diff(start, prepend=0)
     fields = [ids[used].astype("<i8"), keys[used].astype("<i8"), np.diff(row, prepend=0).astype("<u4"), step.astype("<i4"), length.astype("<u2") if length.max() < 65536 else length.astype("<u4")]
-    raw = b"".join([np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n]).tobytes() for x, n in ((anchor, 5), (seg, 6))] + [np.ascontiguousarray(f.view(np.uint8).reshape(len(f), -1).T).tobytes() for f in fields])
+    raw = b"".join([np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n]).tobytes() for x, n in ((anchor, 8), (seg, 8))] + [np.ascontiguousarray(f.view(np.uint8).reshape(len(f), -1).T).tobytes() for f in fields])
     head = np.array([len(anchor), len(used), fields[4].itemsize], "<u4").tobytes()
     return head + pa.compress(raw, codec="lz4", asbytes=True) + len(raw).to_bytes(4, "little")
 
@@ -243,7 +243,7 @@ def _unblock(block: bytes) -> tuple[np.ndarray, ...]:
         at += count * width
         return x
 
-    anchor, seg = number(5), number(6)
+    anchor, seg = number(8), number(8)
     ids, keys = field(rows, "<i8"), field(rows, "<i8")
     row = np.cumsum(field(n, "<u4").astype(np.int64))
     start = np.cumsum(field(n, "<i4").astype(np.int64))
@@ -260,11 +260,12 @@ def _gather(kind: Kind, buckets: int) -> Callable:
         row = np.concatenate([h[2] + s for h, s in zip(held, shift, strict=True)])
         anchor, seg, start, length = (np.concatenate([h[k] for h in held]) for k in (3, 4, 5, 6))
         anchor = mix(anchor)  # anchors are least hashes, so their high bits are uneven; buckets go by those
-        both = anchor ^ seg
-        order = np.lexsort((ids[row], both))
+        order = np.lexsort((seg, anchor))
+        new = np.ones(len(order), bool)
+        new[1:] = (anchor[order][1:] != anchor[order][:-1]) | (seg[order][1:] != seg[order][:-1])
         low = np.empty(len(order), np.int64)
         if len(order):
-            low[order] = least_by(both[order], ids[row][order])
+            low[order] = least_by(np.cumsum(new), ids[row][order])
         covered = ids[row] > low
         r, s, n = joined(row[covered], start[covered], length[covered])
         yield pa.record_batch([pa.array((r % buckets).astype(np.int32)), pa.array(ids[r]), pa.array(keys[r]), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), pa.nulls(len(r), pa.binary())], schema=ROW)
