@@ -94,8 +94,12 @@ def test_encoder_gives_the_ids_of_the_tokenizers_library():
     t = Tokenizer.from_file(P.path(packing.TOKENIZER))
     encode = packing.encoder()
     texts = ["", "a", "Hello  world\n\n it's 123  ", "ñandú 東京 🙂🙂  x", "<|endoftext|> b", "  lead", "tab\t\tx", "a" * 5000, "Éan de aiê la\r\n\r\nb", "\x00\x01", "é ½ ②"]
+    texts += [" " * 1_200_000, " " * 1_200_000 + "a", "ab cd " * 800_000, "\u00a0\u2003x \u3000y\x1c\x1f z\u200b'S 'll"]
+    r = random.Random(4)
+    texts += ["".join(r.choice(" \n\t'sreléñ東½٣_-.,!<|🙂\x00\u00a0ABz9") for _ in range(r.randint(0, 60))) for _ in range(2000)]
     for x in texts:
-        assert encode(x).tolist() == t.encode(x, add_special_tokens=False).ids
+        assert np.frombuffer(encode(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+    assert encode.by_word and len(encode.known) <= packing.KNOWN_WORDS
 
 
 def test_shingles_and_intersections():
@@ -111,8 +115,17 @@ def test_shingles_and_intersections():
 
 
 def test_bands_keep_the_miss_rate():
-    for p in (80, 85, 90):
-        assert (1 - (p / 100) ** near_dedup.ROWS) ** near_dedup.bands_for(p) <= near_dedup.MISS
+    for p in (1, 10, 20, 40, 60, 80, 85, 90, 100):
+        rows, bands = near_dedup.layout(p)
+        assert (1 - (p / 100) ** rows) ** bands <= near_dedup.MISS and (bands <= 400 or rows == 1)
+    with pytest.raises(ValueError):
+        near_dedup.layout(0)
+
+
+def test_capitals_are_counted_in_words_of_any_case():
+    at = 14  # the share of capital letters
+    x = toxicity.Tokens({}).features(["You Are An Idiot Here", "You ARE An (Idiot) Here", "no, none", "ÉA b", None, ""])
+    assert [round(v, 4) for v in x[:, at]] == [round(5 / 21, 4), round(7 / 23, 4), 0.0, 0.5, 0.0, 0.0]
 
 
 def test_alignment():

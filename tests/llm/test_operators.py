@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from quillmill.llm import decontam, fingerprint, html_extract, line_dedup, near_dedup, packing, queries, suffix_dedup, toxicity, warc
 from quillmill.llm.common import settle
+from quillmill.llm.components import components
 
 BAD = ["idiot", "scum", "moron", "trash"]
 
@@ -130,12 +131,47 @@ def test_op3(spark, sf):
 
 
 def test_line_runs_are_compacted_and_tell_new_lines(spark):
-    runs = line_dedup.LineRuns(spark, fanout=2)
     make = lambda *rows: spark.createDataFrame(rows, "h1 long, h2 long, doc_id long")
-    assert all(r.fresh for r in runs.add(make((1, 1, 10), (1, 1, 11), (2, 2, 10))).collect())
-    assert {(r.h1, r.n, r.fresh) for r in runs.add(make((2, 2, 20), (3, 3, 20))).collect()} == {(2, 1, False), (3, 1, True)}
-    assert [len(level) for level in runs.levels] == [0, 1]
-    assert {(r.h1, r.n, r.last) for r in runs.totals().collect()} == {(1, 2, 11), (2, 2, 20), (3, 1, 20)}
+    for fanout in (2, 3):
+        runs = line_dedup.LineRuns(spark, 4, fanout)
+        assert {tuple(r) for r in runs.add(make((1, 1, 20), (1, 1, 21), (2, 2, 20))).collect()} == {(1, 1, 2, 21), (2, 2, 1, 20)}
+        assert {tuple(r) for r in runs.add(make((2, 2, 10), (3, 3, 10))).collect()} == {(2, 2, 1, None), (3, 3, 1, 10)}  # known lines name no holder
+        runs.add(make())
+        runs.add(make((1, 1, 5), (3, 3, 6), (4, 4, 6)))
+        assert [len(level) for level in runs.levels] == ([0, 0, 1] if fanout == 2 else [1, 1])
+        assert {tuple(r) for r in runs.totals().collect()} == {(1, 1, 3, 21), (2, 2, 2, 20), (3, 3, 2, 10), (4, 4, 1, 6)}
+
+
+def test_old_runs_are_neither_shuffled_nor_sorted_again(spark):
+    rows = [(k * 2654435761 % 2**40, k, k % 50) for k in range(2000)]
+    make = lambda part: spark.createDataFrame(part, "h1 long, h2 long, doc_id long")
+    runs = line_dedup.LineRuns(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    runs.add(make(rows[:1200]))
+    batch = make(rows[800:]).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
+    held = {k: spark.conf.get(k) for k in (line_dedup.ORDERED, "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set(line_dedup.ORDERED, "true")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = runs.fresh(batch)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1  # the new batch's
+
+
+def test_hot_lines_and_few_take_the_same_way(spark, sf, monkeypatch):
+    want = run(spark, "op3_line_dedup", sf)
+    monkeypatch.setattr(line_dedup, "HOT_SHARE", 1)  # nothing is hot
+    assert run(spark, "op3_line_dedup", sf).sort_values("doc_id").values.tolist() == want.sort_values("doc_id").values.tolist()
+
+
+def test_lines_of_repeated_rows_and_null_ids(spark):
+    line = "a line that is long enough to be looked at by the rule, surely"
+    docs = [(k, line + "\nown %d" % k) for k in range(3)] + [(2, line + "\nagain")] * 4 + [(None, line)] * 9 + [(9, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert all(r.n_dropped == 0 for r in line_dedup.dedup_lines(df).collect())  # three documents, however many rows
+    got = line_dedup.dedup_lines(df, min_docs=3).collect()
+    assert sorted((str(r.doc_id), r.n_lines, r.n_dropped) for r in got) == sorted([("0", 2, 1), ("1", 2, 1)] + [("2", 2, 0)] * 5 + [("None", 1, 0)] * 9 + [("9", 1, 0)])
 
 
 def _removed(units, window: int, join):
@@ -202,6 +238,32 @@ def test_op5(spark, sf):
     assert (got.kept == (got.doc_id == got.component_id)).all() and (~got.kept).sum() > 10
 
 
+def test_different_texts_under_one_id_are_each_compared(spark):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, a), (1, b), (2, b + " x"), (3, a + " x"), (4, "c d e f"), (None, a), (5, None), (5, None)], "doc_id long, text string")
+    got = near_dedup.near_duplicates(docs, width=3, percent=85).collect()
+    assert sorted(((r.doc_id or 0, r.component_id, r.kept) for r in got), key=repr) == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (0, 1, False), (5, 5, True), (5, 5, True)], key=repr)
+
+
+def test_components(spark):
+    r = random.Random(2)
+    links = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(220)] + [(400, 400 + k) for k in range(1, 90)] + [(k, k + 1) for k in range(600, 640)] + [(7, 7), (None, 3), (3, None)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for x, y in links:
+        if None not in (x, y) and x != y:
+            a, b = sorted((find(x), find(y)))
+            root[b] = a
+    df = spark.createDataFrame(links * 2, "a long, b long").withColumn("label", F.lit(1))
+    assert {n: x for n, x in components(df).collect()} == {n: find(n) for n in root}
+    assert components(df.filter("a < 0")).count() == 0
+
+
 def test_near_dedup_in_blocks(spark, sf):
     """Groups larger than a block give the same components."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -210,10 +272,11 @@ def test_near_dedup_in_blocks(spark, sf):
 
 
 def test_op6(spark, sf):
+    public_tokenizers, tokenizers = pytest.importorskip("public_tokenizers"), pytest.importorskip("tokenizers")
     got = run(spark, "op6_packing", sf)
-    encode = packing.encoder()
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
     for doc, own in got.groupby("doc_id"):
-        ids = np.append(encode(TEXTS[doc] or ""), np.uint32(1)).astype("<u4")
+        ids = np.array([*library.encode(TEXTS[doc] or "", add_special_tokens=False).ids, 1], "<u4")
         own = own.sort_values("start")
         assert own.start.tolist() == [0, *np.cumsum(own.length)[:-1].tolist()] and own.length.sum() == len(ids) == own.doc_tokens.iloc[0]
         assert all(zlib.crc32(ids[s : s + n].tobytes()) == c for s, n, c in zip(own.start, own.length, own.ids_crc32, strict=True))
