@@ -30,7 +30,7 @@ def word_count(c: Column | str) -> Column:
 def sentences(c: Column | str) -> Column:
     """Trimmed sentences, cut after . ! or ? and white space. A mark stands in for look-around, so SQL engines agree."""
     cut = F.split(F.regexp_replace(F.coalesce(_col(c), F.lit("")), r"([.!?])\s+", f"$1{MARK}"), MARK)
-    return F.filter(F.transform(cut, F.trim), lambda s: s != "")
+    return F.filter(F.transform(cut, lambda x: F.trim(x)), lambda s: s != "")
 
 
 def full_sentences(c: Column | str, least: int = 5) -> Column:
@@ -60,7 +60,7 @@ def literal_list(c: Column | str) -> Column:
     """The strings of a list literal such as ['a', "b's"]; text without quotes is split at commas."""
     c = _col(c)
     quoted = F.regexp_extract_all(c, F.lit(r"""'([^']*)'|"([^"]*)\""""), F.lit(0))
-    plain = F.filter(F.transform(F.split(F.regexp_replace(c, r"[\[\]]", ""), ","), F.trim), lambda x: x != "")
+    plain = F.filter(F.transform(F.split(F.regexp_replace(c, r"[\[\]]", ""), ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.size(quoted) > 0, F.transform(quoted, lambda x: F.substring(x, F.lit(2), F.length(x) - 2))).otherwise(plain)
 
 

@@ -31,7 +31,7 @@ def arxiv_papers(raw: DataFrame, category: str | None = None, names: DataFrame |
         df = df.join(names.select(F.col("category").alias("_cat"), F.col("name").alias("_name")), "_cat", "left")
     else:
         df = df.withColumn("_name", F.lit(None).cast("string"))
-    parts = F.transform(F.split("_name", "[-,]"), F.trim)
+    parts = F.transform(F.split("_name", "[-,]"), lambda x: F.trim(x))
     author = lambda a: F.array_join(F.filter(F.reverse(F.slice(a, 1, 2)), lambda x: x != ""), " ")
     return df.select(
         F.coalesce("doi", "id").alias("doi"), F.array_join(F.transform("authors_parsed", author), ", ").alias("Authors"), F.regexp_extract(F.col("versions")[0]["created"], "([0-9]{4})", 1).try_cast("int").alias("year"),
@@ -75,7 +75,7 @@ def tei_papers(docs: DataFrame, xml: str = "tei") -> DataFrame:
     fore, last = many("//analytic/author[persName/forename and persName/surname]/persName/forename[1]"), many("//analytic/author[persName/forename and persName/surname]/persName/surname")
     out = df.select(
         one("//idno[@type='DOI']").alias("doi"), F.array_join(F.zip_with(fore, last, lambda a, b: F.concat_ws(" ", a, b)), ", ").alias("Authors"), year_in(one("//date[@type='published']")).alias("year"),
-        X.one_line(one("//abstract")).alias("Abstract"), F.array_join(F.filter(F.transform(F.split(one("//keywords"), "\n"), F.trim), lambda x: x != ""), ", ").alias("Keywords"), one("//title[@type='main']").alias("Title"), one("//title[@level='j']").alias("Journal"),
+        X.one_line(one("//abstract")).alias("Abstract"), F.array_join(F.filter(F.transform(F.split(one("//keywords"), "\n"), lambda x: F.trim(x)), lambda x: x != ""), ", ").alias("Keywords"), one("//title[@type='main']").alias("Title"), one("//title[@level='j']").alias("Journal"),
     )
     return out.filter(X.word_count("Abstract") > 5)
 
