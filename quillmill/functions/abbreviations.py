@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,6 +61,17 @@ def abbreviation_map(text: pd.Series) -> pd.Series:
     return text.map(pairs)
 
 
+def full_text_map(*sections: Column | str) -> Column:
+    """The abbreviations of all sections of a paper; of several definitions the last counts."""
+    return abbreviation_map(F.concat_ws("\n", *sections))
+
+
+def most_frequent(pairs_: DataFrame, short: str = "short", long: str = "long") -> DataFrame:
+    """(short, long, n): each abbreviation's most frequent definition, the first by text of equals."""
+    n = pairs_.groupBy(short, long).agg(F.count("*").alias("n"))
+    return n.groupBy(short).agg(F.min(F.struct((-F.col("n")).alias("m"), F.col(long).alias("l"))).alias("x")).select(short, F.col("x.l").alias(long), (-F.col("x.m")).alias("n"))
+
+
 def expand(text: Column | str, found: Column | str) -> Column:
     """Each ' ABBR' as ' definition (ABBR)', one pass, longer ones first, without a look at word ends."""
     return _expand(_col(text), _col(found))

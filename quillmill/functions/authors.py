@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .text import _col, words
 
 #: Where papers of each database are found.
-ARXIV_PDF, DOI_URL, OWN_PDF = "https://arxiv.org/pdf/", "https://doi.org/", "s3://papers/"
+ARXIV_PDF, DOI_URL = "https://arxiv.org/pdf/", "https://doi.org/"
 PIVOT_YEAR = 2021
 
 
@@ -63,9 +63,10 @@ def escaped(c: Column | str) -> Column:
     return F.replace(F.replace(F.replace(_col(c), F.lit(" "), F.lit("%20")), F.lit("("), F.lit("%28")), F.lit(")"), F.lit("%29"))
 
 
-def reference_url(database: Column | str, doi: Column | str, title: Column | str) -> Column:
+def reference_url(database: Column | str, doi: Column | str, title: Column | str, own_root: str) -> Column:
+    """Where a paper is found; own files (database 'mine') lie under own_root by their titles."""
     d, doi, title = _col(database), _col(doi), _col(title)
-    own = F.concat(F.lit(OWN_PDF), F.when(F.coalesce(title, F.lit("")) == "", F.lit("")).otherwise(escaped(F.concat(title, F.lit(".pdf")))))
+    own = F.concat(F.lit(own_root), F.when(F.coalesce(title, F.lit("")) == "", F.lit("")).otherwise(escaped(F.concat(title, F.lit(".pdf")))))
     return F.when(d == "mine", own).when(d == "arxiv", F.concat(F.lit(ARXIV_PDF), doi)).when(d == "iahr", doi).otherwise(F.concat(F.lit(DOI_URL), doi))
 
 

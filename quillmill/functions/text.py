@@ -80,9 +80,13 @@ def despaced(c: Column | str) -> Column:
     return F.when(c.rlike(r"\w\w"), c).otherwise(F.regexp_replace(once, "(.) (.)", "$1$2"))
 
 
+#: Fixed value: the pattern of a DOI.
+DOI = r"(?i)(10\.[0-9]{3,7}(\.\w+)*(/|%2f)[\w\-:;()/.<>]*[\w\-:;()/<>])"
+
+
 def doi_in(c: Column | str) -> Column:
     """The first DOI in a text; empty if there is none."""
-    return F.regexp_extract(_col(c), r"(?i)(10\.[0-9]{3,7}(\.\w+)*(/|%2f)[\w\-:;()/.<>]*[\w\-:;()/<>])", 1)
+    return F.regexp_extract(_col(c), DOI, 1)
 
 
 def without_long_brackets(c: Column | str, most: int = 5) -> Column:
@@ -127,6 +131,11 @@ def comma_pair(with_commas: Column | str, without: Column | str) -> Column:
     return F.when((F.size(parts) == 3) & ~F.contains(b, F.lit(",")), F.replace(b, parts[1], F.concat(F.lit(","), parts[1], F.lit(",")))).otherwise(b)
 
 
+def capitalised(c: Column | str) -> Column:
+    """Every word with a capital first letter, the others small."""
+    return F.initcap(_col(c))
+
+
 def starts_capital(c: Column | str) -> Column:
     return _col(c).rlike(r"^\s*[A-Z]")
 
@@ -135,12 +144,17 @@ def has_digit(c: Column | str) -> Column:
     return _col(c).rlike("[0-9]")
 
 
+def _tail(array: Column, skip: int) -> Column:
+    """An array without its first elements."""
+    return F.slice(array, skip + 1, F.greatest(F.size(array) - skip, F.lit(0)))
+
+
 def repeated_capitalised(c: Column | str, threshold: int) -> Column:
     """Parts that start at capitals, of more than one word, that occur more often than threshold."""
-    parts = F.filter(F.slice(F.split(F.concat(F.lit(" "), _col(c)), r"\b(?=[A-Z])"), 2, 1_000_000), lambda p: word_count(p) > 1)
+    parts = F.filter(_tail(F.split(F.concat(F.lit(" "), _col(c)), r"\b(?=[A-Z])"), 1), lambda p: word_count(p) > 1)
     # Sorted, so that a part's repeats are a run: the one `threshold` places on is equal.
     ordered = F.array_sort(parts)
-    later = F.slice(ordered, threshold + 1, 1_000_000)
+    later = _tail(ordered, threshold)
     return F.array_distinct(F.filter(F.zip_with(ordered, later, lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull()))
 
 

@@ -42,7 +42,13 @@ def ranges_of(fields: dict[str, list[str]]) -> list[tuple[str, int, int]]:
     return [(name, int(x.split("-")[0]), int(x.split("-")[-1])) for name, codes in fields.items() for x in codes]
 
 
-def first_range(rows: DataFrame, group: str, number: str, manifest: DataFrame) -> DataFrame:
-    """rows joined with the manifest entry of their group with first <= number < last."""
+def first_range(rows: DataFrame, group: str, number: str, manifest: DataFrame, bucket: int = 1000) -> DataFrame:
+    """rows joined with the manifest entry of their group with first <= number < last.
+
+    Entries are cut at multiples of `bucket`, about an entry's length, so a row meets the few entries of its bucket only,
+    however many its group has.
+    """
     m = manifest.select(F.col(group).alias("_g"), *[c for c in manifest.columns if c != group])
-    return rows.join(m, (F.col(group) == F.col("_g")) & (F.col(number) >= F.col("first")) & (F.col(number) < F.col("last"))).drop("_g")
+    m = m.filter(F.col("last") > F.col("first")).withColumn("_b", F.explode(F.sequence(F.floor(F.col("first") / bucket), F.floor((F.col("last") - 1) / bucket))))
+    at = F.floor(F.col(number) / bucket)
+    return rows.join(m, (F.col(group) == F.col("_g")) & (at == F.col("_b")) & (F.col(number) >= F.col("first")) & (F.col(number) < F.col("last"))).drop("_g", "_b")

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import terms
 
-#: At most so many field vectors are sent to all tasks; more are joined in blocks.
+#: At most so many field vectors are sent to all tasks; a larger table is refused, as fields are few by their nature.
 MOST_FIELDS = 4096
+#: Terms of more than a FREQUENT-th of all documents are frequent.
+FREQUENT = 1000
 
 
 def by_citations(df: DataFrame, top_n: int, tie: str = "fname") -> DataFrame:
@@ -24,7 +26,9 @@ def tfidf_scores(docs: DataFrame, query: str, key: str, text: str | Column, stop
     """(key, score): cosine of the query and each document that has one of its terms.
 
     The query counts as one more document. Weights are tf * (ln((1 + n) / (1 + df)) + 1); terms of less than min_df of all
-    documents are left out. Terms are shuffled once by document and once by term; only two numbers are sent to all tasks.
+    documents are left out. Only documents that have a term of the query are weighed. Terms that stand in more than
+    1 / FREQUENT of all documents are sent to all tasks (there are at most FREQUENT times a document's mean number of terms
+    of them), so that no frequent term is a hot key; the others are shuffled by term.
     """
     spark = docs.sparkSession
     text = F.col(text) if isinstance(text, str) else text
@@ -33,10 +37,15 @@ def tfidf_scores(docs: DataFrame, query: str, key: str, text: str | Column, stop
     df = tf.groupBy("term").agg(F.count("*").alias("df")).join(asked, "term", "full_outer").select("term", (F.coalesce("df", F.lit(0)) + F.when(F.col("qtf").isNotNull(), 1).otherwise(0)).alias("df"), "qtf")
     n = docs.agg((F.count("*") + 1).alias("n"))
     df = df.withColumn("one", F.lit(1)).join(F.broadcast(n.withColumn("one", F.lit(1))), "one").filter(F.col("df") >= F.col("n") * min_df)
-    weights = df.select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"), "qtf")
+    weights = df.select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"), "qtf", "df", "n")
     norm = weights.filter("qtf is not null").agg(F.sqrt(F.sum(F.pow(F.col("qtf") * F.col("idf"), 2))).alias("qnorm"))
     own = F.col("tf") * F.col("idf")
-    sums = tf.join(weights, "term").groupBy(key).agg(F.sqrt(F.sum(own * own)).alias("norm"), F.sum(own * F.col("qtf") * F.col("idf")).alias("dot"))
+    hits = tf.join(F.broadcast(asked.select("term")), "term", "left_semi").select(key).distinct()
+    own_terms = tf.join(hits, key, "left_semi")
+    frequent = weights.filter(F.col("df") * FREQUENT > F.col("n"))
+    rest = own_terms.join(F.broadcast(frequent.select("term")), "term", "left_anti").join(weights.filter(F.col("df") * FREQUENT <= F.col("n")), "term")
+    weighed = own_terms.join(F.broadcast(frequent), "term").unionByName(rest)
+    sums = weighed.groupBy(key).agg(F.sqrt(F.sum(own * own)).alias("norm"), F.sum(own * F.col("qtf") * F.col("idf")).alias("dot"))
     out = sums.filter("dot is not null").withColumn("one", F.lit(1)).join(F.broadcast(norm.withColumn("one", F.lit(1))), "one")
     return out.select(key, (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score"))
 

@@ -83,18 +83,48 @@ def random_rows(df: DataFrame, k: int, key: Column) -> DataFrame:
 
 
 def row_slice(df: DataFrame, order: str, start: int, stop: int | None) -> DataFrame:
-    """Rows start to stop (exclusive) by order. Ranks within ranges of the order first, so no task gets all rows."""
+    """Rows start to stop (exclusive) by order, nulls first, equal ones by the hash of the row.
+
+    The rows are cut into ranges at fixed bounds, which are written into the plan: counting and ranking cut alike, whatever
+    tasks run again. Only the ranges that the slice touches are ranked, each in a task of its own. The bounds come from a
+    sample by hash of some twenty values a range.
+    """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    part = df.repartitionByRange(n, order).withColumn("_part", F.spark_partition_id())
-    sizes = {r._part: r.n for r in part.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # one row a partition
+    names = [f.name for f in df.schema.fields if "map" not in f.dataType.simpleString()]
+    keyed = pinned(df, _h=F.xxhash64(*names))
+    wide = 1 << 20
+    share = min(1.0, 20 * n / max(1, df.count()))
+    sample = keyed.filter(F.pmod(F.xxhash64("_h", F.lit(7)), F.lit(wide)) < max(1, int(share * wide))).filter(F.col(order).isNotNull())
+    sample = sample.select(order, "_h").orderBy(order, "_h").collect()  # about 20 n values
+    bounds = [sample[len(sample) * k // n] for k in range(1, n)] if sample else []
+    below = lambda b: (F.col(order) < F.lit(b[0])) | ((F.col(order) == F.lit(b[0])) & (F.col("_h") < F.lit(b[1])))
+
+    def part(lo: int, hi: int) -> Column:
+        """How many bounds aren't above the row, of those from lo to hi, by halving."""
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(below(bounds[mid]), part(lo, mid)).otherwise(part(mid + 1, hi))
+
+    cut = pinned(keyed, _part=F.when(F.col(order).isNull(), -1).otherwise(part(0, len(bounds))))
+    sizes = {r._part: r.n for r in cut.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # one row a range
     base, total = {}, 0
     for p in sorted(sizes):
         base[p], total = total, total + sizes[p]
-    shift = F.create_map(*(F.lit(x) for p, b in base.items() for x in (p, b))) if base else F.create_map(F.lit(0), F.lit(0))
-    rank = F.row_number().over(W.partitionBy("_part").orderBy(order)) + shift[F.col("_part")] - 1
-    out = part.withColumn("_at", rank).filter(F.col("_at") >= start)
-    return (out if stop is None else out.filter(F.col("_at") < stop)).drop("_part", "_at")
+    touched = [p for p, b in base.items() if b + sizes[p] > start and (stop is None or b < stop)]
+    if not touched:
+        return df.limit(0)
+    whole = [p for p in touched if base[p] >= start and (stop is None or base[p] + sizes[p] <= stop)]
+    edge = [p for p in touched if p not in whole]  # two ranges at most
+    out = cut.filter(F.col("_part").isin(whole)).select(*df.columns)
+    if edge:
+        shift = F.create_map(*(F.lit(x) for p in edge for x in (p, base[p])))
+        at = F.row_number().over(W.partitionBy("_part").orderBy(F.col(order).asc_nulls_first(), "_h")) + shift[F.col("_part")] - 1
+        ranked = cut.filter(F.col("_part").isin(edge)).withColumn("_at", at).filter(F.col("_at") >= start)
+        ranked = ranked if stop is None else ranked.filter(F.col("_at") < stop)
+        out = out.unionByName(ranked.select(*df.columns))
+    return out
 
 
 def counts(df: DataFrame, by: str, name: str = "n") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +18,11 @@ class Zone:
         self.spark, self.path, self.partitions = spark, f"{root.rstrip('/')}/{name}", partitions
 
     def exists(self) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        try:
+            self.spark.read.parquet(self.path)
+        except AnalysisException:  # no such path, or nothing there yet
+            return False
+        return True
 
     def read(self, **where: str) -> DataFrame:
         """The rows of some partitions, or all; Spark reads only those partitions' files."""

@@ -20,8 +20,11 @@ def segment(papers: DataFrame, text: str = "Abstract", summarise: bool = True) -
     return pinned(made, segments=R.segmented("_sentences")).drop("_sentences")
 
 
-def produce(papers: DataFrame, key: str = "doi", summarise: bool = True) -> DataFrame:
-    """Sections of all papers with an abstract of which some section has a sentence. Narrow: nothing is shuffled."""
+def produce(papers: DataFrame, key: str = "doi", summarise: bool = True, own_root: str = "") -> DataFrame:
+    """Sections of all papers with an abstract of which some section has a sentence. Narrow: nothing is shuffled.
+
+    own_root: the folder of own papers' files; without one their links are relative.
+    """
     df = segment(papers.filter(F.length(F.trim(F.coalesce("Abstract", F.lit("")))) > 0), summarise=summarise)
 
     def of(name: str):
@@ -33,7 +36,7 @@ def produce(papers: DataFrame, key: str = "doi", summarise: bool = True) -> Data
     df = pinned(df, _best=best, _formula=A.author_formula("Authors", "year"))
     df = df.withColumn("_reported", R.reported("_best", "_formula"))
     none, name = F.lit(None).cast("string"), F.col(key).cast("string")
-    full = {"website": A.reference_url("database", "doi", "Title"), "database": F.col("database"), "reported": F.col("_reported"), "title": F.col("Title"), "journal": A.journal_name(F.coalesce("Journal", F.lit(""))), "authors": F.col("_formula"), "allauthors": F.col("Authors")}
+    full = {"website": A.reference_url("database", "doi", "Title", own_root), "database": F.col("database"), "reported": F.col("_reported"), "title": F.col("Title"), "journal": A.journal_name(F.coalesce("Journal", F.lit(""))), "authors": F.col("_formula"), "allauthors": F.col("Authors")}
 
     def row(section: str):
         given = {k: (v if section == "objectives" else none).cast("string") for k, v in full.items()}

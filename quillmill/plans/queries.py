@@ -209,7 +209,7 @@ def author_formula(spark, sf_dir):
 FROM supplier WHERE regexp_matches(s_name, '[a-zA-Z]')""".replace("\\\\", "\\"))
 def journals_and_urls(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").filter(F.col("s_name").rlike("[a-zA-Z]"))
-    return s.select("s_suppkey", A.journal_name("s_name").alias("journal"), A.reference_url(F.lit("egu"), F.concat(F.lit("10.1/"), F.col("s_suppkey").cast("string")), "s_name").alias("url"), A.escaped(F.concat("s_name", F.lit(" (x).pdf"))).alias("file"))
+    return s.select("s_suppkey", A.journal_name("s_name").alias("journal"), A.reference_url(F.lit("egu"), F.concat(F.lit("10.1/"), F.col("s_suppkey").cast("string")), "s_name", "").alias("url"), A.escaped(F.concat("s_name", F.lit(" (x).pdf"))).alias("file"))
 
 
 @query(f"WITH {PAPERS} SELECT doc_id, authors || ', ' || year || ', ' || title || ', ' || journal || '.' AS reference FROM papers")
@@ -229,9 +229,9 @@ def text_extractions(spark, sf_dir):
     return c.select("conv_id", "turn", X.doi_in("text").alias("doi"), X.keywords("text").alias("keywords"), F.coalesce(A.year_in("text"), F.lit(0)).alias("year"))
 
 
-@query(f"WITH {PAPERS} SELECT doc_id, lang || ', ' || source || '  ' || title AS dispatch_text FROM papers WHERE title <> '' AND title = trim(title)")
+@query(f"WITH {PAPERS} SELECT doc_id, trim(lang || ', ' || source || '  ' || title) AS dispatch_text FROM papers")
 def dispatch_texts(spark, sf_dir):
-    p = papers(spark, sf_dir).filter((F.col("Title") != "") & (F.col("Title") == F.trim("Title")))
+    p = papers(spark, sf_dir)
     return M.dispatch_text(p).select("doc_id", "dispatch_text")
 
 
@@ -248,19 +248,19 @@ def query_types(spark, sf_dir):
 # -- searches --------------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {PAPERS} SELECT doc_id FROM papers WHERE contains(lower(title), 'thion') OR contains(lower(abstract), 'thion')")
+@query(f"WITH {PAPERS} SELECT doc_id FROM papers WHERE contains(lower(title), 'thing') OR contains(lower(abstract), 'thing')")
 def search_substring(spark, sf_dir):
-    return papers(spark, sf_dir).filter(search.substring("Thion", "Title", "Abstract")).select("doc_id")
+    return papers(spark, sf_dir).filter(search.substring("Thing", "Title", "Abstract")).select("doc_id")
 
 
-@query(f"WITH {PAPERS} SELECT doc_id FROM papers WHERE contains(lower(abstract), 'the') AND contains(substr(lower(abstract), instr(lower(abstract), 'the') + 3), 'heonand')")
+@query(f"WITH {PAPERS} SELECT doc_id FROM papers WHERE contains(lower(abstract), 'the') AND contains(substr(lower(abstract), instr(lower(abstract), 'the') + 3), 'thing')")
 def search_and_ordered(spark, sf_dir):
-    return papers(spark, sf_dir).filter(search.ordered(["the", "heonand"], "Abstract")).select("doc_id")
+    return papers(spark, sf_dir).filter(search.ordered(["the", "thing"], "Abstract")).select("doc_id")
 
 
-@query(f"WITH {PAPERS} SELECT doc_id FROM papers WHERE contains(lower(abstract), 'heit') AND contains(lower(abstract), 'that')")
+@query(f"WITH {PAPERS} SELECT doc_id FROM papers WHERE contains(lower(abstract), 'thing') AND contains(lower(abstract), 'that')")
 def search_and_unordered(spark, sf_dir):
-    return papers(spark, sf_dir).filter(search.all_substrings(["heit", "that"], "Abstract")).select("doc_id")
+    return papers(spark, sf_dir).filter(search.all_substrings(["thing", "that"], "Abstract")).select("doc_id")
 
 
 @query(f"WITH {PAPERS} SELECT doc_id FROM papers WHERE contains(abstract, 'of the') OR contains(abstract, 'The and')")
@@ -371,10 +371,10 @@ def find_papers_single(spark, sf_dir):
     return find.find_papers(sections(spark, sf_dir), "thing", 20, 1992, 2020).select("fname", "score", "year", "relevant")
 
 
-@query(_found("the AND heonand", "contains(lower(txt), 'the') AND contains(substr(lower(txt), instr(lower(txt), 'the') + 3), 'heonand')", "c DESC", 20))
+@query(_found("the AND thing", "contains(lower(txt), 'the') AND contains(substr(lower(txt), instr(lower(txt), 'the') + 3), 'thing')", "c DESC", 20))
 def find_papers_and(spark, sf_dir):
     """A top-k report."""
-    return find.find_papers(sections(spark, sf_dir), "the AND heonand", 20, sort_by="citations").select("fname", "score", "year", "relevant")
+    return find.find_papers(sections(spark, sf_dir), "the AND thing", 20, sort_by="citations").select("fname", "score", "year", "relevant")
 
 
 @query(_found(" of the ", "contains(txt, 'of the')", "year DESC", 20))
@@ -571,19 +571,19 @@ def classification_report(spark, sf_dir):
 
 
 @query(rf"""SELECT doc_id, md5(array_to_string(list_concat(list_transform(range(0, {_n_words("a")}), lambda i: CASE WHEN i = 0 THEN 'B-objectives' ELSE 'I-objectives' END), list_transform(range(0, {_n_words("b")}), lambda i: 'O')), ' ')) AS tags_md5,
-  CAST({_n_words("a")} + {_n_words("b")} AS BIGINT) AS n FROM (SELECT doc_id, string_split(text, chr(10))[1] AS a, lang || ' ' || source AS b FROM documents)""")
+  CAST({_n_words("a")} + {_n_words("b")} AS BIGINT) AS n FROM (SELECT doc_id, coalesce(text, '') AS a, lang || ' ' || source AS b FROM documents)""")
 def bio_tags(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    parts = F.array(F.struct(F.lit("objectives").alias("label"), F.split("text", "\n")[0].alias("text")), F.struct(F.lit("other").alias("label"), F.concat_ws(" ", "lang", "source").alias("text")))
+    parts = F.array(F.struct(F.lit("objectives").alias("label"), F.coalesce("text", F.lit("")).alias("text")), F.struct(F.lit("other").alias("label"), F.concat_ws(" ", "lang", "source").alias("text")))
     tags = S.section_tags(parts)
     return d.select("doc_id", F.md5(F.array_join(tags, " ")).alias("tags_md5"), F.size(tags).cast("long").alias("n"))
 
 
 @query(rf"""SELECT doc_id, x.label, x.start, x."end", x.first, x.last FROM (SELECT doc_id, unnest([{{'label': 'objectives', 'start': 0, 'end': CAST(length(a) AS INTEGER), 'first': 1, 'last': CAST({_n_words("a")} AS INTEGER)}},
-  {{'label': 'other', 'start': CAST(length(a) + 1 AS INTEGER), 'end': CAST(length(a) + 1 + length(b) AS INTEGER), 'first': CAST({_n_words("a")} + 1 AS INTEGER), 'last': CAST({_n_words("a")} + {_n_words("b")} AS INTEGER)}}]) AS x FROM (SELECT doc_id, string_split(text, chr(10))[1] AS a, lang || ' ' || source AS b FROM documents))""")
+  {{'label': 'other', 'start': CAST(length(a) + 1 AS INTEGER), 'end': CAST(length(a) + 1 + length(b) AS INTEGER), 'first': CAST({_n_words("a")} + 1 AS INTEGER), 'last': CAST({_n_words("a")} + {_n_words("b")} AS INTEGER)}}]) AS x FROM (SELECT doc_id, coalesce(text, '') AS a, lang || ' ' || source AS b FROM documents))""")
 def text_spans(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    parts = F.array(F.struct(F.lit("objectives").alias("label"), F.split("text", "\n")[0].alias("text")), F.struct(F.lit("other").alias("label"), F.concat_ws(" ", "lang", "source").alias("text")))
+    parts = F.array(F.struct(F.lit("objectives").alias("label"), F.coalesce("text", F.lit("")).alias("text")), F.struct(F.lit("other").alias("label"), F.concat_ws(" ", "lang", "source").alias("text")))
     return d.select("doc_id", F.inline(S.section_spans(parts)))
 
 
@@ -617,11 +617,13 @@ def header_classes(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", D.header_class(F.get(names, (F.col("o_orderkey") % 7).cast("int"))).alias("class"))
 
 
-@query()
+@query("""SELECT p_partkey, 'X' || s.k AS short, 'Xa' || (p_partkey % 97) || ' Yb' || p_partkey || ' Zc' AS long FROM part, (VALUES ('YZ'), ('Z')) s(k) WHERE s.k = 'YZ'
+UNION ALL SELECT p_partkey, 'Qv' AS short, 'Quiet ventures' AS long FROM part WHERE p_partkey % 2 = 0""")
 def abbreviation_pairs(spark, sf_dir):
-    """Abbreviations in documents; a published right-to-left matching that SQL can't express, checked by tests."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(abbreviation_map("text")).alias("short", "long"))
-    return d
+    """Abbreviations that texts define: one a text, for every second text another, and brackets that define nothing."""
+    n = F.col("p_partkey")
+    text = F.concat(F.lit("We use Xa"), (n % 97).cast("string"), F.lit(" Yb"), n.cast("string"), F.lit(" Zc (XYZ) here (and here), (2).\n"), F.when(n % 2 == 0, "All Quiet ventures (Qv; so) end.").otherwise("All Quiet ventures (Qv; end."))
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(abbreviation_map(text)).alias("short", "long"))
 
 
 @query(r"""SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, trim(regexp_extract(html, '<title(?:\s[^>]*)?>([^<]*)', 1)) AS title, regexp_extract(html, '<html[^>]*\slang="([^"]*)"', 1) AS lang,

@@ -102,6 +102,16 @@ def header_parts(headers: Column | str) -> Column:
     return F.aggregate(X._col(headers), start, step, lambda acc: acc["out"])
 
 
+def section_texts(sections: Column | str) -> Column:
+    """map<part, text> of array<struct<header, paragraphs>>: each part's paragraphs, one header after the other."""
+    s = X._col(sections)
+    of = header_parts(F.transform(s, lambda x: x["header"]))
+    told = F.zip_with(of, s, lambda p, x: F.struct(p.alias("part"), F.array_join(x["paragraphs"], " ").alias("text")))
+    names = F.array_distinct(of)
+    own = lambda k: F.array_join(F.transform(F.filter(told, lambda x: x["part"] == k), lambda x: x["text"]), " ")
+    return F.map_from_arrays(names, F.transform(names, own))
+
+
 #: Words of abstract headers, by class, in the order in which they are tried.
 HEADER_CLASSES = (("background", "introduction|background"), ("objectives", "purpose|aim|objective"), ("methods", "method|materials|approach"), ("results", "result|finding|conclusion"))
 
