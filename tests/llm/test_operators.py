@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillmill.llm import decontam, fingerprint, html_extract, line_dedup, near_dedup, packing, queries, suffix_dedup, toxicity, warc
+from quillmill.llm import decontam, fingerprint, html_extract, line_dedup, near_dedup, packing, queries, suffix_dedup, suffix_sort, toxicity, warc
 from quillmill.llm.common import settle
 from quillmill.llm.components import components
 
@@ -376,3 +376,23 @@ def test_pipeline_is_registered():
     import __spark_entry__ as e
 
     assert "pipeline" in e.queries() and set(queries.queries()) <= set(e.queries())
+
+
+def test_all_suffixes_in_one_distributed_order(spark):
+    r = random.Random(5)
+    docs = [(k // 2 if k < 4 else k, "".join(r.choice("ab") for _ in range(r.randint(0, 40)))) for k in range(30)] + [(40, None), (None, "abab" * 5), (41, "é" * 9)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    raw = [(d, t.encode()) for d, t in docs if d is not None and t]
+    rows = spark.createDataFrame(list(enumerate(t.decode() for _, t in raw)), "g long, text string")
+    for depth in (2, 7, 50):
+        rank = {(x.g, x.i): x.rank for x in suffix_sort.suffix_ranks(suffix_sort.units(rows), depth).collect()}
+        order = sorted(rank, key=rank.get)
+        cut = [raw[g][1][i : i + depth] for g, i in order]
+        assert cut == sorted(cut) and len(rank) == sum(len(t) for _, t in raw)
+    first: dict = {}
+    for d, t in raw:
+        for i in range(len(t) - 5):
+            first[t[i : i + 6]] = min(first.get(t[i : i + 6], d), d)
+    want = sorted((d, i) for d, t in raw for i in range(len(t) - 5) if first[t[i : i + 6]] < d)
+    assert sorted((x.doc_id, x.i) for x in suffix_sort.shared_prefixes(df, 6).collect()) == want and len(want) > 400
+    assert suffix_sort.shared_prefixes(df.filter("doc_id is null"), 6).count() == 0
