@@ -286,8 +286,8 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that stand for their component: those with its least id, and rows without an id."""
+    """The rows of docs that stand for their component: those with its least id, and rows without an id if none there has one."""
     found = near_duplicates(docs, id_col, text_col, width, percent)
     gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone_id"), F.col("row_key").alias("_gone_key")).distinct()
     key = F.xxhash64(docs[id_col].cast("long"), docs[text_col].cast("string"))
-    return docs.join(gone, (docs[id_col] == F.col("_gone_id")) & (key == F.col("_gone_key")), "left_anti")
+    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(F.col("_gone_id")) & (key == F.col("_gone_key")), "left_anti")
