@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import settle, shared_dir  # noqa: F401  (the operators take them from here)
+
 #: White space of the word and line contracts: space and the bytes 09 to 0D.
 BLANK = b" \t\n\x0b\x0c\r"
 #: Rows and bytes of an Arrow batch; they bound a Python worker's memory.
@@ -38,32 +37,6 @@ def tune(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, held]))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new path under the cluster's shared folder, spark.checkpoint.dir.
-
-    Where no folder is set, a local run gets one of its own; a cluster must name one, as executors don't share local folders.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not re.match(r"local($|\[)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-        root = spark.sparkContext.getCheckpointDir()
-    if "://" not in root:
-        root = "file://" + root.removeprefix("file:") if root.startswith(("/", "file:/")) else root
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def settle(df: DataFrame, *by: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: later plans start from the files, whichever executor is lost.
-
-    by: columns whose values get folders of their own, so that filters on them read no other files.
-    """
-    path = f"{shared_dir(df.sparkSession)}.parquet"
-    (df.write.partitionBy(*by) if by else df.write).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def parts(df: DataFrame) -> int:
     """Number of shuffle partitions to deal by, as the session says."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -140,3 +140,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_OP7 = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+u AS (SELECT doc_id, unnest(ws) AS word, unnest(range(0, len(ws))) AS i, len(ws) AS n FROM w),
+win AS (SELECT *, CASE WHEN i + 13 <= n THEN string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) END AS k FROM u),
+least AS (SELECT k, min(doc_id) AS least FROM win WHERE k IS NOT NULL GROUP BY k HAVING min(doc_id) < max(doc_id)),
+bad AS (SELECT win.*, coalesce(win.doc_id > least, false) AS bad FROM win LEFT JOIN least ON win.k = least.k),
+gone AS (SELECT *, bool_or(bad) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM bad)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM w LEFT JOIN gone ON w.doc_id = gone.doc_id GROUP BY w.doc_id, len(ws)
+"""

@@ -284,6 +284,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
+ORACLE_OP5 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+u AS (SELECT doc_id, unnest(ws) AS word, unnest(range(0, len(ws))) AS i, len(ws) AS n FROM w),
+s AS (SELECT DISTINCT doc_id, k FROM (SELECT doc_id, n, i, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS k FROM u) WHERE i + 3 <= n OR (n < 3 AND i = 0)),
+sets AS (SELECT doc_id, md5(string_agg(k, chr(10) ORDER BY k)) AS set, count(*) AS n FROM s GROUP BY 1),
+class AS (SELECT set, n, min(doc_id) AS doc_id FROM sets GROUP BY 1, 2),
+df AS (SELECT k, count(*) AS df FROM s JOIN class USING (doc_id) GROUP BY 1 HAVING count(*) > 1),
+c AS (SELECT s.doc_id, n, s.k, row_number() OVER (PARTITION BY s.doc_id ORDER BY coalesce(df, 1), s.k) AS pos FROM s JOIN class USING (doc_id) LEFT JOIN df ON s.k = df.k),
+prefix AS (SELECT doc_id, n, k FROM c WHERE pos <= n - (85 * n + 99) // 100 + 1),
+pairs AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM prefix a JOIN prefix b ON a.k = b.k AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)),
+shared AS (SELECT a, b, count(*) AS m FROM pairs JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b AND x.k = y.k GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN class x ON x.doc_id = a JOIN class y ON y.doc_id = b WHERE 100 * m >= 85 * (x.n + y.n - m)),
+sides AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a, b FROM sides UNION SELECT reach.a, sides.b FROM reach JOIN sides ON reach.b = sides.a),
+named AS (SELECT set, least(class.doc_id, coalesce(min(b), class.doc_id)) AS component_id FROM class LEFT JOIN reach ON reach.a = class.doc_id GROUP BY set, class.doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, d.doc_id = coalesce(component_id, d.doc_id) AS kept
+FROM (SELECT doc_id FROM documents) d LEFT JOIN sets ON sets.doc_id = d.doc_id LEFT JOIN named ON named.set = sets.set
+"""
+
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that stand for their component: those with its least id, and rows without an id if none there has one."""

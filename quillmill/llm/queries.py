@@ -21,4 +21,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.ORACLE_OP3}
+    return {
+        "op3_line_dedup": line_dedup.ORACLE_OP3,
+        "op4_suffix_dedup": suffix_dedup.ORACLE_OP4,
+        "op5_near_dedup": near_dedup.ORACLE_OP5,
+        "op7_substring_dedup": fm_dedup.ORACLE_OP7,
+        "op10_warc": warc.ORACLE_OP10,
+    }

@@ -113,3 +113,16 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_OP4 = r"""
+WITH h AS (SELECT doc_id, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+blocks AS (SELECT doc_id, n, k, substr(h, 1000 * k + 1, 1098) AS b FROM (SELECT doc_id, n, h, unnest(range(0, (n + 499) // 500)) AS k FROM h)),
+u AS (SELECT doc_id, n, 500 * k + j AS i, substr(b, 2 * j + 1, 2) AS c, CASE WHEN 500 * k + j + 50 <= n THEN substr(b, 2 * j + 1, 100) END AS w FROM (SELECT doc_id, n, k, b, unnest(range(0, least(500, n - 500 * k))) AS j FROM blocks)),
+least AS (SELECT w, min(doc_id) AS least FROM u WHERE w IS NOT NULL GROUP BY w HAVING min(doc_id) < max(doc_id)),
+bad AS (SELECT doc_id, i, c, coalesce(doc_id > least, false) AS bad FROM u LEFT JOIN least ON u.w = least.w),
+gone AS (SELECT *, bool_or(bad) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM bad),
+runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM gone)
+SELECT h.doc_id, CAST(n AS BIGINT) AS n_bytes, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans, sha256(unhex(coalesce(string_agg(c, '' ORDER BY i) FILTER (WHERE NOT gone), ''))) AS kept_sha256
+FROM h LEFT JOIN runs ON h.doc_id = runs.doc_id GROUP BY h.doc_id, n
+"""
