@@ -25,7 +25,8 @@ from . import stand_ins
 from .queries import BASE, QUERIES, SQL, _n_words, query, sections, table
 from .source_queries import _is_english
 
-K = F.col("o_orderkey")
+def _k() -> Column:
+    return F.col("o_orderkey")
 
 
 def _orders(spark, sf_dir) -> DataFrame:
@@ -38,7 +39,7 @@ def _text(c: Column) -> Column:
 
 def _one_of(*values: str) -> Column:
     """One of some values by order key; SQL: _pick."""
-    return F.get(F.array(*map(F.lit, values)), (K % len(values)).cast("int"))
+    return F.get(F.array(*map(F.lit, values)), (_k() % len(values)).cast("int"))
 
 
 def _pick(*values: str) -> str:
@@ -53,9 +54,9 @@ def _pick(*values: str) -> str:
 def label_alignment(spark, sf_dir):
     """Predictions of first tokens, one a word, and labels dealt to first tokens; some predictions are cut short."""
     ids = F.array(F.lit(None).cast("int"), F.lit(0), F.lit(0), F.lit(1), F.lit(2), F.lit(None).cast("int"))
-    own = [(K % n).cast("int") for n in (5, 3, 4)]
+    own = [(_k() % n).cast("int") for n in (5, 3, 4)]
     predicted = F.array(F.lit(9), own[0], F.lit(7), own[1], own[2], F.lit(9))
-    cut = F.when(K % 2 == 0, predicted).otherwise(F.slice(predicted, 1, 4))
+    cut = F.when(_k() % 2 == 0, predicted).otherwise(F.slice(predicted, 1, 4))
     return _orders(spark, sf_dir).select("o_orderkey", F.array_join(L.first_tokens(cut, ids).cast("array<string>"), " ").alias("firsts"), F.array_join(L.aligned(F.array(*own), ids).cast("array<string>"), " ").alias("aligned"))
 
 
@@ -65,7 +66,7 @@ SELECT o_orderkey, array_to_string(list_transform(list_filter(['objectives', 'ot
   array_to_string(list_filter(g, lambda x: len(list_filter(c, lambda y: y = CASE WHEN x = 'O' THEN 'other' ELSE regexp_replace(x, '^[BI]-', '') END)) > 1), ' ') AS repaired FROM t""")
 def label_lists(spark, sf_dir):
     """Classes of tags, the word places and counts of each, and tags of classes that occur more than once."""
-    tags = F.slice(F.array(*map(F.lit, ("B-objectives", "I-objectives", "O", "B-methods", "O", "I-objectives"))), 1, (K % 6 + 1).cast("int"))
+    tags = F.slice(F.array(*map(F.lit, ("B-objectives", "I-objectives", "O", "B-methods", "O", "I-objectives"))), 1, (_k() % 6 + 1).cast("int"))
     lists = F.transform(L.word_lists(L.clean("t")), lambda x: F.concat(x["class"], F.lit(":"), F.array_join(x["words"].cast("array<string>"), " ")))
     counts = F.transform(L.tag_counts("t"), lambda x: F.concat(x["tag"], F.lit("="), x["n"].cast("string")))
     return _orders(spark, sf_dir).select("o_orderkey", tags.alias("t")).select("o_orderkey", F.array_join(lists, ";").alias("lists"), F.array_join(counts, ";").alias("counts"), F.array_join(S.repaired_tags("t"), " ").alias("repaired"))
@@ -106,7 +107,7 @@ def entity_views(spark, sf_dir):
 def span_strings(spark, sf_dir):
     """Word numbers as text and back; where a span of a text starts and ends."""
     name = F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
-    d = _orders(spark, sf_dir).select("o_orderkey", S.prediction_string(F.sequence(K % 5, K % 5 + 3)).alias("prediction"), S.char_span(F.concat(F.lit("and "), name, F.lit(" one two six so on")), F.concat(name, F.lit(" one two six"))).alias("x"))
+    d = _orders(spark, sf_dir).select("o_orderkey", S.prediction_string(F.sequence(_k() % 5, _k() % 5 + 3)).alias("prediction"), S.char_span(F.concat(F.lit("and "), name, F.lit(" one two six so on")), F.concat(name, F.lit(" one two six"))).alias("x"))
     return d.select("o_orderkey", "prediction", F.aggregate(S.ids_of("prediction"), F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), "x.start", "x.end")
 
 
@@ -124,14 +125,14 @@ def span_f1_mean(spark, sf_dir):
   o_orderkey % 2 = 0 AS capital, o_orderkey % 3 = 0 AS digit, 'abc d|x long' AS items, 'Ann X|Bob Y' AS people, 'The Big Cat' AS capitalised, 'abc' AS bare, CASE WHEN o_orderkey % 2 = 0 THEN 'abc' ELSE 'a bcd' END AS despaced FROM orders""")
 def text_repairs(spark, sf_dir):
     """Small repairs of sentences and names."""
-    names = F.when(K % 2 == 0, "A. Smith B. Jones").otherwise("A. Solo")
+    names = F.when(_k() % 2 == 0, "A. Smith B. Jones").otherwise("A. Solo")
     objective = _one_of("[12] saw; then 5 x", "7It is so (see 3)", "semicolon; plain(4)")
     return _orders(spark, sf_dir).select(
         "o_orderkey", X.objective_clean(objective).alias("objective"), A.clean_author(_one_of("Ann A\nBob& C.D", "A.Smith", "X")).alias("author"), A.plausible_author(_one_of("Ann Able", "Bob Best Cox", "X")).alias("plausible"), A.initials(names).alias("initials"),
-        A.full_names(F.concat(F.lit("Ann A"), _text(K % 7), F.lit(" Bob B"))).alias("pairs"), A.arxiv_year(_one_of("9912.00123", "2105.1", "2205.7")).alias("arxiv_year"), X.comma_pair(F.when(K % 2 == 0, "We, thus, go").otherwise("We, go"), F.when(K % 2 == 0, "We thus go").otherwise("We, go")).alias("commas"),
-        X.find_slice(F.when(K % 2 == 0, "the Key x").otherwise("nothing"), "KEY", 5).alias("slice"), X.starts_capital(F.when(K % 2 == 0, "  Abc").otherwise("abc D")).alias("capital"), X.has_digit(_one_of("a1", "b", "c")).alias("digit"),
+        A.full_names(F.concat(F.lit("Ann A"), _text(_k() % 7), F.lit(" Bob B"))).alias("pairs"), A.arxiv_year(_one_of("9912.00123", "2105.1", "2205.7")).alias("arxiv_year"), X.comma_pair(F.when(_k() % 2 == 0, "We, thus, go").otherwise("We, go"), F.when(_k() % 2 == 0, "We thus go").otherwise("We, go")).alias("commas"),
+        X.find_slice(F.when(_k() % 2 == 0, "the Key x").otherwise("nothing"), "KEY", 5).alias("slice"), X.starts_capital(F.when(_k() % 2 == 0, "  Abc").otherwise("abc D")).alias("capital"), X.has_digit(_one_of("a1", "b", "c")).alias("digit"),
         F.array_join(X.long_word_items(F.array(F.lit("a b"), F.lit("abc d"), F.lit("x long"))), "|").alias("items"), F.array_join(A.distinct_authors(F.array(F.lit("ann x"), F.lit("Bob y "), F.lit("ANN X"))), "|").alias("people"), X.capitalised(F.lit("the bIG cat")).alias("capitalised"),
-        X.thin_spaces(F.lit("a b c ")).alias("bare"), X.despaced(F.when(K % 2 == 0, "a b c").otherwise("a bcd")).alias("despaced"),
+        X.thin_spaces(F.lit("a b c ")).alias("bare"), X.despaced(F.when(_k() % 2 == 0, "a b c").otherwise("a bcd")).alias("despaced"),
     )
 
 
@@ -139,7 +140,7 @@ def text_repairs(spark, sf_dir):
   ' one' || chr(10) || 'two ' AS inside, array_to_string((['We aim to see a', 'this study does b', 'The goal is c', 'We propose d', 'Corresponding author PhD goal', 'plain'])[1:CASE WHEN o_orderkey % 6 >= 3 THEN 4 ELSE o_orderkey % 6 + 1 END], '|') AS summary FROM orders""".replace("\\\\", "\\"))
 def text_patterns(spark, sf_dir):
     """Repeated headlines, heading patterns, text between marks, and abstracts cut to their objective sentences."""
-    s = F.slice(F.array(*map(F.lit, ("We aim to see a", "this study does b", "The goal is c", "We propose d", "Corresponding author PhD goal", "plain"))), 1, (K % 6 + 1).cast("int"))
+    s = F.slice(F.array(*map(F.lit, ("We aim to see a", "this study does b", "The goal is c", "We propose d", "Corresponding author PhD goal", "plain"))), 1, (_k() % 6 + 1).cast("int"))
     repeated = F.array_join(X.repeated_capitalised(_one_of("Run in Run in Run in Other end", "Run in Other", "x"), 2), "|")
     heads = _one_of("1 Introduction. Here\n2 Next", "1 Introduction here\n2 Next", "Introduction\nNext")
     return _orders(spark, sf_dir).select(
@@ -169,11 +170,11 @@ def expanded_abbreviations(spark, sf_dir):
 @query("""SELECT o_orderkey, o_orderkey % 5 = 0 AS headers, o_orderkey % 3 = 0 OR o_orderkey % 7 = 1 AS speaks, o_orderkey % 5 <> 0 AND (o_orderkey % 3 = 0 OR o_orderkey % 7 = 1) AS review FROM orders""")
 def review_papers(spark, sf_dir):
     """Papers without section headers whose objective, by cue or by a model, speaks of a review."""
-    title = F.when(K % 5 == 0, "Methods: of it.").otherwise("On it.")
-    abstract = F.when(K % 3 == 0, "In this paper we review a thing. It is.").otherwise("We show a thing. A document is.")
+    title = F.when(_k() % 5 == 0, "Methods: of it.").otherwise("On it.")
+    abstract = F.when(_k() % 3 == 0, "In this paper we review a thing. It is.").otherwise("We show a thing. A document is.")
     t = V.paper_text(title, abstract)
     s = X.sentences("t")
-    judged = F.when(K % 7 == 1, F.filter(s, lambda x: F.contains(x, F.lit("document")) | F.contains(x, F.lit("review"))))
+    judged = F.when(_k() % 7 == 1, F.filter(s, lambda x: F.contains(x, F.lit("document")) | F.contains(x, F.lit("review"))))
     d = tables.pinned(_orders(spark, sf_dir).select("o_orderkey"), t=t)
     d = tables.pinned(d, j=judged)
     found = V.objectives_found(s, F.coalesce("j", F.filter(s, R.is_objective)))
@@ -184,7 +185,7 @@ def review_papers(spark, sf_dir):
 SELECT o_custkey, string_agg(f, ' ' ORDER BY y DESC, f) AS text FROM f GROUP BY 1""")
 def written_reviews(spark, sf_dir):
     """Formulations of each group's results, each once, the latest first; those without a year are left out."""
-    o = F.when(K % 6 == 0, "No year here").otherwise(F.concat(F.lit("Smith ("), _text(K % 30 + 1990), F.lit(") found "), _text(K % 4)))
+    o = F.when(_k() % 6 == 0, "No year here").otherwise(F.concat(F.lit("Smith ("), _text(_k() % 30 + 1990), F.lit(") found "), _text(_k() % 4)))
     d = _orders(spark, sf_dir).select("o_custkey", o.alias("objective"), F.concat(F.lit("u"), _text(F.col("o_custkey"))).alias("url"))
     return V.written(d, "o_custkey", V.latest_first("objective"), url="url")
 
@@ -212,7 +213,7 @@ def pdf_parts(spark, sf_dir):
 @query("""SELECT o_orderkey, 'a0 b0 a1 b1' AS introduction, CASE WHEN o_orderkey % 2 = 0 THEN 'a2 b2' ELSE '' END AS methods FROM orders""")
 def section_texts(spark, sf_dir):
     """Paragraphs of each part of a full text."""
-    heads = F.when(K % 2 == 0, F.array(F.lit("Abstract"), F.lit("Introduction"), F.lit("Area"), F.lit("Methods"))).otherwise(F.array(F.lit("Abstract"), F.lit("Introduction"), F.lit("Area")))
+    heads = F.when(_k() % 2 == 0, F.array(F.lit("Abstract"), F.lit("Introduction"), F.lit("Area"), F.lit("Methods"))).otherwise(F.array(F.lit("Abstract"), F.lit("Introduction"), F.lit("Area")))
     s = F.transform(heads, lambda h, i: F.struct(h.alias("header"), F.when(i == 0, F.array(F.lit("x"))).otherwise(F.array(F.concat(F.lit("a"), (i - 1).cast("string")), F.concat(F.lit("b"), (i - 1).cast("string")))).alias("paragraphs")))
     d = tables.pinned(_orders(spark, sf_dir).select("o_orderkey"), s=s)
     d = tables.pinned(d, m=D.section_texts("s"))

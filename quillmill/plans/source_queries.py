@@ -245,24 +245,28 @@ def _landed(spark, sf_dir, name: str, html: Column) -> DataFrame:
     return L.PARSERS[name](tables.pinned(d, html=html))
 
 
-_N = F.col("c_custkey").cast("string")
-_YEAR = (F.col("c_custkey") % 30 + 1990).cast("string")
+def _n() -> Column:
+    return F.col("c_custkey").cast("string")
+
+
+def _year() -> Column:
+    return (F.col("c_custkey") % 30 + 1990).cast("string")
 
 
 @query("""SELECT '10.1/' || c_custkey AS doi, 'On ' || c_name AS title, 'Ann X, Bob Y' AS authors, CASE WHEN c_custkey % 5 = 0 THEN 'In press' ELSE 'Text of ' || c_custkey END AS abstract, CASE WHEN c_custkey % 5 = 0 THEN 2022 ELSE CAST(1990 + c_custkey % 30 AS INTEGER) END AS year, 'a, b' AS keywords, 'J1' AS journal FROM customer""")
 def hal_pages(spark, sf_dir):
     press = F.col("c_custkey") % 5 == 0
-    html = F.concat(F.lit('<html><body><div class="result-text"><h3 class="title"> On '), F.col("c_name"), F.lit('</h3><div class="authors"><span class="author">Ann X</span> <span class="author">Bob Y</span></div><div class="abstract-content">'), F.when(press, "In press").otherwise(F.concat(F.lit("Text of "), _N)),
-                    F.lit('</div><div class="keywords"><span>a</span><span>b</span></div><div class="citation-ref"><i>J1</i>, '), F.when(press, "In press").otherwise(_YEAR), F.lit('</div><a class="doi" href="https://doi.org/10.1/'), _N, F.lit('">10.1</a></div></body></html>'))
+    html = F.concat(F.lit('<html><body><div class="result-text"><h3 class="title"> On '), F.col("c_name"), F.lit('</h3><div class="authors"><span class="author">Ann X</span> <span class="author">Bob Y</span></div><div class="abstract-content">'), F.when(press, "In press").otherwise(F.concat(F.lit("Text of "), _n())),
+                    F.lit('</div><div class="keywords"><span>a</span><span>b</span></div><div class="citation-ref"><i>J1</i>, '), F.when(press, "In press").otherwise(_year()), F.lit('</div><a class="doi" href="https://doi.org/10.1/'), _n(), F.lit('">10.1</a></div></body></html>'))
     return _landed(spark, sf_dir, "hal", html).select("doi", "title", "authors", "abstract", "year", "keywords", "journal")
 
 
 @query("""SELECT '10.1101/' || c_custkey AS doi, 'On ' || c_name AS title, 'Ann B. X, Bob Y' AS authors, CAST(1990 + c_custkey % 30 AS INTEGER) AS year, 'Biology' AS field_paper, 'Text of ' || c_custkey || ' in two parts' AS abstract FROM customer WHERE c_custkey % 4 <> 0""")
 def biorxiv_records(spark, sf_dir):
     """Records without an abstract are left out."""
-    body = F.when(F.col("c_custkey") % 4 == 0, F.lit("")).otherwise(F.concat(F.lit("<abstract><p>Text of "), _N, F.lit("</p><p>in <i>two</i> parts</p></abstract>")))
-    html = F.concat(F.lit("<article><front><article-meta><article-id pub-id-type='doi'>10.1101/"), _N, F.lit("</article-id><article-categories><subj-group subj-group-type='hwp-journal-coll'><subject>Biology</subject></subj-group></article-categories><title-group><article-title>On "), F.col("c_name"),
-                    F.lit("</article-title></title-group><contrib-group><contrib contrib-type='author'><name><surname>X</surname><given-names>Ann B.</given-names></name></contrib><contrib contrib-type='author'><name><surname>Y</surname><given-names>Bob</given-names></name></contrib><contrib><collab>Group</collab></contrib></contrib-group><pub-date><year>"), _YEAR, F.lit("</year></pub-date>"), body, F.lit("</article-meta></front></article>"))
+    body = F.when(F.col("c_custkey") % 4 == 0, F.lit("")).otherwise(F.concat(F.lit("<abstract><p>Text of "), _n(), F.lit("</p><p>in <i>two</i> parts</p></abstract>")))
+    html = F.concat(F.lit("<article><front><article-meta><article-id pub-id-type='doi'>10.1101/"), _n(), F.lit("</article-id><article-categories><subj-group subj-group-type='hwp-journal-coll'><subject>Biology</subject></subj-group></article-categories><title-group><article-title>On "), F.col("c_name"),
+                    F.lit("</article-title></title-group><contrib-group><contrib contrib-type='author'><name><surname>X</surname><given-names>Ann B.</given-names></name></contrib><contrib contrib-type='author'><name><surname>Y</surname><given-names>Bob</given-names></name></contrib><contrib><collab>Group</collab></contrib></contrib-group><pub-date><year>"), _year(), F.lit("</year></pub-date>"), body, F.lit("</article-meta></front></article>"))
     return _landed(spark, sf_dir, "biorxiv", html).select("doi", "title", "authors", "year", "field_paper", "abstract")
 
 
@@ -270,8 +274,8 @@ def biorxiv_records(spark, sf_dir):
 def pubmed_records(spark, sf_dir):
     """Abstracts with or without parts, and the body's paragraphs."""
     part = F.when(F.col("c_custkey") % 2 == 0, F.lit("<sec><title>Aim</title><p>One.</p><p>Two.</p></sec><sec><title>Methods</title><p>Three.</p></sec>")).otherwise(F.lit("<p>Plain one.</p>"))
-    html = F.concat(F.lit("<article><front><journal-meta><journal-title>J</journal-title></journal-meta><article-meta><article-id pub-id-type='pmid'>7</article-id><article-id pub-id-type='doi'>10.1/"), _N, F.lit("</article-id><title-group><article-title>On "), F.col("c_name"),
-                    F.lit("</article-title></title-group><contrib-group><contrib><name><surname>X</surname><given-names>Ann</given-names></name></contrib><contrib><name><surname>Y</surname><given-names>Bob</given-names></name></contrib></contrib-group><pub-date><year>"), _YEAR, F.lit("</year></pub-date><abstract>"), part, F.lit("</abstract></article-meta></front><body><p>Body 1.</p><p>Body 2.</p></body></article>"))
+    html = F.concat(F.lit("<article><front><journal-meta><journal-title>J</journal-title></journal-meta><article-meta><article-id pub-id-type='pmid'>7</article-id><article-id pub-id-type='doi'>10.1/"), _n(), F.lit("</article-id><title-group><article-title>On "), F.col("c_name"),
+                    F.lit("</article-title></title-group><contrib-group><contrib><name><surname>X</surname><given-names>Ann</given-names></name></contrib><contrib><name><surname>Y</surname><given-names>Bob</given-names></name></contrib></contrib-group><pub-date><year>"), _year(), F.lit("</year></pub-date><abstract>"), part, F.lit("</abstract></article-meta></front><body><p>Body 1.</p><p>Body 2.</p></body></article>"))
     p = _landed(spark, sf_dir, "pubmed", html)
     text = F.array_join(F.transform("abstract", lambda x: F.concat_ws(": ", x["title"], F.array_join(x["paragraphs"], " "))), "|")
     return p.select("doi", "title", "authors", "year", "journal", text.alias("abstract"), F.array_join("body", " ").alias("body"))
@@ -279,22 +283,22 @@ def pubmed_records(spark, sf_dir):
 
 @query("""SELECT CAST(c_custkey AS VARCHAR) AS abstract_id, 'On ' || c_name AS title, 'Ann X, Bob Y' AS authors, CAST(1990 + c_custkey % 30 AS INTEGER) AS year, 'Law' AS field, c_custkey % 40 AS pages, 'Text of ' || c_custkey AS abstract_text, 'a, b' AS keywords FROM customer""")
 def ssrn_pages(spark, sf_dir):
-    html = F.concat(F.lit("<div class=\"box-abstract-main\"><h1>On "), F.col("c_name"), F.lit("</h1><p class=\"note note-list\"><span>"), (F.col("c_custkey") % 40).cast("string"), F.lit(" Pages</span><span>Posted: 1 Jan "), _YEAR, F.lit("</span></p><div class=\"authors\"><h2><a href=\"x\">Ann X</a></h2><h2><a href=\"y\">Bob Y</a></h2></div><div class=\"abstract-text\"><h3>Abstract</h3><p>Text of "), _N,
-                    F.lit("</p></div><p><strong>Keywords: </strong>a, b</p><div class=\"group-field\"><h2>Law</h2></div></div><input name=\"abstract_id\" value=\""), _N, F.lit("\">"))
+    html = F.concat(F.lit("<div class=\"box-abstract-main\"><h1>On "), F.col("c_name"), F.lit("</h1><p class=\"note note-list\"><span>"), (F.col("c_custkey") % 40).cast("string"), F.lit(" Pages</span><span>Posted: 1 Jan "), _year(), F.lit("</span></p><div class=\"authors\"><h2><a href=\"x\">Ann X</a></h2><h2><a href=\"y\">Bob Y</a></h2></div><div class=\"abstract-text\"><h3>Abstract</h3><p>Text of "), _n(),
+                    F.lit("</p></div><p><strong>Keywords: </strong>a, b</p><div class=\"group-field\"><h2>Law</h2></div></div><input name=\"abstract_id\" value=\""), _n(), F.lit("\">"))
     return _landed(spark, sf_dir, "ssrn", html).select("abstract_id", "title", "authors", "year", "field", "pages", "abstract_text", "keywords")
 
 
 @query("""SELECT 'https://doi.org/10.5/' || c_custkey AS doi, 'On ' || c_name AS title, 'Ann X, and Bob Y' AS authors, CAST(1990 + c_custkey % 30 AS INTEGER) AS year, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'Text of ' || c_custkey END AS abstract FROM customer""")
 def egu_pages(spark, sf_dir):
-    body = F.when(F.col("c_custkey") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("<div class=\"short_summary\">Text of "), _N, F.lit("</div>")))
-    html = F.concat(F.lit("<div class=\"paperlist-object\"><a class=\"article-title\" href=\"/x\">On "), F.col("c_name"), F.lit("</a><div class=\"authors\">Ann X, and Bob Y</div><div class=\"citation\">J, 1, 2, <a href=\"https://doi.org/10.5/"), _N, F.lit("\">https</a>, "), _YEAR, F.lit("</div>"), body, F.lit("</div>"))
+    body = F.when(F.col("c_custkey") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("<div class=\"short_summary\">Text of "), _n(), F.lit("</div>")))
+    html = F.concat(F.lit("<div class=\"paperlist-object\"><a class=\"article-title\" href=\"/x\">On "), F.col("c_name"), F.lit("</a><div class=\"authors\">Ann X, and Bob Y</div><div class=\"citation\">J, 1, 2, <a href=\"https://doi.org/10.5/"), _n(), F.lit("\">https</a>, "), _year(), F.lit("</div>"), body, F.lit("</div>"))
     return _landed(spark, sf_dir, "egu", html).select("doi", "title", "authors", "year", "abstract")
 
 
 @query("""SELECT 'On ' || c_name AS title, 'Ann X' AS authors, 'a; b' AS keywords, 'Text of ' || c_custkey AS abstract, CAST(1990 + c_custkey % 30 AS INTEGER) AS year FROM customer""")
 def iahr_pages(spark, sf_dir):
     """Fields by the place of their paragraph."""
-    html = F.concat(F.lit("<h1>On "), F.col("c_name"), F.lit("</h1><p><b>Author(s):</b> Ann X</p><p>Linked Author(s): </p><p>Keywords: a; b</p><p>Abstract: Text of "), _N, F.lit("</p><p>DOI: </p><p>Year: "), _YEAR, F.lit("</p>"))
+    html = F.concat(F.lit("<h1>On "), F.col("c_name"), F.lit("</h1><p><b>Author(s):</b> Ann X</p><p>Linked Author(s): </p><p>Keywords: a; b</p><p>Abstract: Text of "), _n(), F.lit("</p><p>DOI: </p><p>Year: "), _year(), F.lit("</p>"))
     return _landed(spark, sf_dir, "iahr", html).select("title", "authors", "keywords", "abstract", "year")
 
 
@@ -302,14 +306,14 @@ def iahr_pages(spark, sf_dir):
 def iwa_pages(spark, sf_dir):
     """Citation counts default to a half."""
     cited = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("<div class=\"article-cited-by\">Cited by "), (F.col("c_custkey") % 9).cast("string"), F.lit("</div>"))).otherwise("")
-    html = F.concat(F.lit("<h1 class=\"wi-article-title\"> On "), F.col("c_name"), F.lit(" </h1><a class=\"linked-name\">Ann X</a><a class=\"linked-name\">Bob Y</a><div class=\"citation-doi\"><a href=\"https://doi.org/10.2166/"), _N, F.lit("\">d</a></div><span class=\"article-date\">May "), _YEAR, F.lit("</span><section class=\"abstract\"><p>Text of "), _N, F.lit("</p></section>"), cited)
+    html = F.concat(F.lit("<h1 class=\"wi-article-title\"> On "), F.col("c_name"), F.lit(" </h1><a class=\"linked-name\">Ann X</a><a class=\"linked-name\">Bob Y</a><div class=\"citation-doi\"><a href=\"https://doi.org/10.2166/"), _n(), F.lit("\">d</a></div><span class=\"article-date\">May "), _year(), F.lit("</span><section class=\"abstract\"><p>Text of "), _n(), F.lit("</p></section>"), cited)
     return _landed(spark, sf_dir, "iwa", html).select("doi", "title", "authors", "year", "abstract", "cited")
 
 
 @query("""SELECT 'On ' || c_name AS title, 'Ann X, Bob Y' AS authors, 'Journal of T' AS journal, CAST(1990 + c_custkey % 30 AS INTEGER) AS year FROM customer""")
 def scholar_pages(spark, sf_dir):
     """A profile's rows: the first grey line names authors, the next the journal."""
-    html = F.concat(F.lit("<tr class=\"gsc_a_tr\"><td><a class=\"gsc_a_at\" href=\"/c\">On "), F.col("c_name"), F.lit("</a><div class=\"gs_gray\">Ann X, Bob Y</div><div class=\"gs_gray\">Journal of T</div></td><td class=\"gsc_a_y\"><span>"), _YEAR, F.lit("</span></td></tr>"))
+    html = F.concat(F.lit("<tr class=\"gsc_a_tr\"><td><a class=\"gsc_a_at\" href=\"/c\">On "), F.col("c_name"), F.lit("</a><div class=\"gs_gray\">Ann X, Bob Y</div><div class=\"gs_gray\">Journal of T</div></td><td class=\"gsc_a_y\"><span>"), _year(), F.lit("</span></td></tr>"))
     return _landed(spark, sf_dir, "scholar", html).select("title", "authors", "journal", "year")
 
 
@@ -317,8 +321,8 @@ def scholar_pages(spark, sf_dir):
 def issn_records(spark, sf_dir):
     """Answers of citation services, as JSON; those without an abstract are left out."""
     html = F.to_json(F.struct(
-        F.concat(F.lit("10.1/"), _N).alias("doi"), F.concat(F.lit("On "), F.col("c_name")).alias("title"), F.array(F.struct(F.lit("Ann X").alias("name")), F.struct(F.lit("Bob Y").alias("name"))).alias("authors"), F.col("c_custkey").cast("int").alias("x"), (F.col("c_custkey") % 30 + 1990).alias("year"),
-        F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit("Text of "), _N)).alias("abstract"), (F.col("c_custkey") % 50).alias("numCitedBy"), (F.col("c_custkey") % 7).alias("numCiting"),
+        F.concat(F.lit("10.1/"), _n()).alias("doi"), F.concat(F.lit("On "), F.col("c_name")).alias("title"), F.array(F.struct(F.lit("Ann X").alias("name")), F.struct(F.lit("Bob Y").alias("name"))).alias("authors"), F.col("c_custkey").cast("int").alias("x"), (F.col("c_custkey") % 30 + 1990).alias("year"),
+        F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit("Text of "), _n())).alias("abstract"), (F.col("c_custkey") % 50).alias("numCitedBy"), (F.col("c_custkey") % 7).alias("numCiting"),
     ))
     return _landed(spark, sf_dir, "issn", html).select("doi", "title", "authors", "year", "abstract", "cited", "citing")
 
@@ -326,7 +330,7 @@ def issn_records(spark, sf_dir):
 @query("""SELECT c_custkey, 'J' || c_custkey AS journal, '1234-' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS issn, 'Law|Art' AS fields FROM customer""")
 def doaj_cards(spark, sf_dir):
     """Journal cards: name, ISSN and subjects."""
-    html = F.concat(F.lit("<li class=\"card search-results__record\"><h3 class=\"search-results__heading\"><a href=\"/toc/1\">J"), _N, F.lit("</a></h3><li>ISSN: 1234-"), F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0"), F.lit("</li><ul class=\"inlined-list\"><li><a href=\"/s\">Law</a></li><li><a href=\"/s\">Art</a></li></ul></li>"))
+    html = F.concat(F.lit("<li class=\"card search-results__record\"><h3 class=\"search-results__heading\"><a href=\"/toc/1\">J"), _n(), F.lit("</a></h3><li>ISSN: 1234-"), F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0"), F.lit("</li><ul class=\"inlined-list\"><li><a href=\"/s\">Law</a></li><li><a href=\"/s\">Art</a></li></ul></li>"))
     return _landed(spark, sf_dir, "doaj", html).select("c_custkey", "journal", "issn", F.array_join("fields", "|").alias("fields"))
 
 

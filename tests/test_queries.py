@@ -29,3 +29,13 @@ def test_entry(spark):
 
     assert set(Q.QUERIES) <= set(e.queries())
     assert e.entry(spark).count() >= 0
+
+
+def test_entry_module_is_read_without_a_session():
+    import subprocess
+    import sys
+
+    from .conftest import ROOT
+
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    assert said.returncode == 0, said.stderr[-500:]
