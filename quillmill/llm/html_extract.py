@@ -364,3 +364,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
+
+
+#: The main text of pages that are laid out as those of the given tables: an article of headings and paragraphs.
+ORACLE_OP9 = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS x FROM pages),
+b AS (SELECT page_id, url, list_transform(string_split_regex(x, '</?(h1|p)>'), lambda p: regexp_replace(regexp_replace(p, '<br>', ' ', 'g'), '<[^>]*>', '', 'g')) AS parts FROM a),
+c AS (SELECT page_id, url, list_transform(parts, lambda p: trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(p, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&nbsp;', ' '), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS parts FROM b)
+SELECT page_id, url, text, length(text) AS n_chars FROM (SELECT page_id, url, array_to_string(list_filter(parts, lambda p: p <> ''), chr(10) || chr(10)) AS text FROM c)
+"""

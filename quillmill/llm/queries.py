@@ -26,5 +26,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_suffix_dedup": suffix_dedup.ORACLE_OP4,
         "op5_near_dedup": near_dedup.ORACLE_OP5,
         "op7_substring_dedup": fm_dedup.ORACLE_OP7,
+        "op9_html_extract": html_extract.ORACLE_OP9,
         "op10_warc": warc.ORACLE_OP10,
     }

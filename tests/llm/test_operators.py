@@ -275,6 +275,12 @@ def test_near_dedup_in_blocks(spark, sf):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.itertuples()} == _components(3, 85)
 
 
+def test_near_dedup_at_five_words(spark, sf):
+    """The stage's rule, against all pairs."""
+    got = near_dedup.near_duplicates(spark.read.parquet(f"{sf}/documents.parquet")).toPandas()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.itertuples()} == _components(5, 80)
+
+
 def test_op6(spark, sf):
     public_tokenizers, tokenizers = pytest.importorskip("public_tokenizers"), pytest.importorskip("tokenizers")
     got = run(spark, "op6_packing", sf)
