@@ -80,6 +80,19 @@ def candidates(df: DataFrame, condition: Column, top_n: int | None = 200) -> Dat
     return out if top_n is None else out.orderBy(F.coalesce("numCitedBy", F.lit(0.5)).desc(), "fname").limit(top_n)
 
 
+def first_then_ordered(df: DataFrame, queries: list[str], title: Column | str, text: Column | str, top_n: int | None = 200) -> DataFrame:
+    """The most cited rows of the first keyword (see word_start), of which those that have the others after each other too."""
+    first, rest = queries[0], queries[1:]
+    found = candidates(df, substring(first, title, text) & word_start(first, text), top_n)
+    return found.filter(ordered(rest, text)) if rest else found
+
+
+def each_phrase(df: DataFrame, phrases: list[str], title: Column | str, text: Column | str, key: str = "fname", top_n: int | None = 200) -> DataFrame:
+    """The most cited rows of each phrase, whatever its case and at the start of a word, together and each once."""
+    found = [candidates(df, substring(p, title, text) & word_start(p, text), top_n) for p in phrases]
+    return reduce(DataFrame.unionByName, found).dropDuplicates([key]) if found else df.limit(0)
+
+
 def one_section(df: DataFrame, rank: Column) -> DataFrame:
     """The first section of each paper, by rank."""
     from .tables import first_wins

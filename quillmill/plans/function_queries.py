@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 
 from ..functions import abbreviations as B
 from ..functions import authors as A
+from ..functions import clauses as C
 from ..functions import labels as L
-from ..functions import models
+from ..functions import models, registry
 from ..functions import pdf_text as P
 from ..functions import reviews as V
 from ..functions import rules as R
 from ..functions import spans as S
 from ..functions import text as X
-from ..operators import evaluation, tables, training, zones
+from ..operators import evaluation, search, tables, training, zones
 from ..shared import shared_dir
 from ..sources import papers as SP
 from ..sources import structured as D
@@ -364,3 +365,41 @@ def clean_sections(spark, sf_dir):
 def query_table(spark, sf_dir):
     """Sections as searches read them."""
     return zones.query_table(sections(spark, sf_dir)).select("fname", F.col("numCitedBy").alias("cited"), F.size("messages").cast("long").alias("n"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN ':We propose a way|which:is new|,:and so|and:it runs' ELSE ':Here|,:things of 1990|while:we showed them' END AS clauses, CASE WHEN o_orderkey % 2 = 0 THEN 'propose' ELSE 'show' END AS verb,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'We propose a way' ELSE 'we showed them' END AS root, CASE WHEN o_orderkey % 3 = 0 THEN 'Smith measured the flow.' ELSE 'Smith goes by.' END AS active FROM orders""")
+def clause_rules(spark, sf_dir):
+    """Clauses, root verbs, and passive sentences made active."""
+    s = F.when(_k() % 2 == 0, "We propose a way which is new, and so and it runs").otherwise("Here, things of 1990 while we showed them")
+    d = tables.pinned(_orders(spark, sf_dir).select("o_orderkey"), s=s)
+    text = F.transform(C.clauses("s"), lambda c: F.concat_ws(":", c["separator"], c["text"]))
+    return d.select("o_orderkey", F.array_join(text, "|").alias("clauses"), C.root_verb("s").alias("verb"), C.root_clause("s").alias("root"), C.active(F.when(_k() % 3 == 0, "The flow was measured by Smith.").otherwise("Smith goes by.")).alias("active"))
+
+
+_TXT = "t AS (SELECT *, array_to_string(messages, '. ') AS txt FROM sections)"
+
+
+@query(f"""{BASE}, {_TXT}, c AS (SELECT * FROM t WHERE (contains(lower(title), 'the') OR contains(lower(txt), 'the')) AND regexp_matches(txt, '(?i)[^a-zA-Z]the') ORDER BY coalesce(cited, 0.5) DESC, fname LIMIT 200)
+SELECT fname FROM c WHERE contains(lower(txt), 'thing') AND contains(substr(lower(txt), instr(lower(txt), 'thing') + 5), 'of')""")
+def table_and_search(spark, sf_dir):
+    """A top-k report: the first keyword finds candidates, the others must follow in order."""
+    s = sections(spark, sf_dir).withColumn("txt", F.array_join("messages", ". "))
+    return search.first_then_ordered(s, search.split_and("the AND thing AND of"), "title", "txt").select("fname")
+
+
+@query(f"""{BASE}, {_TXT}, m AS (SELECT fname, cited, p FROM t, (VALUES ('of the'), ('thing')) v(p) WHERE (contains(lower(title), p) OR contains(lower(txt), p)) AND regexp_matches(txt, '(?i)[^a-zA-Z]' || p))
+SELECT DISTINCT fname FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY coalesce(cited, 0.5) DESC, fname) AS r FROM m) WHERE r <= 50""")
+def table_match_search(spark, sf_dir):
+    """A top-k report: the most cited rows of each quoted phrase."""
+    s = sections(spark, sf_dir).withColumn("txt", F.array_join("messages", ". "))
+    return search.each_phrase(s, search.phrases_of('"Of the" "thing"'), "title", "txt", top_n=50).select("fname")
+
+
+@query(r"""SELECT p_partkey, 'XY' AS short, 'Xa Yb' || p_partkey AS long, 2 AS sentences, 'It is so!' AS last FROM part""")
+def sql_functions(spark, sf_dir):
+    """Python functions by their names in SQL texts."""
+    registry.register(spark)
+    table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("We use Xa Yb"), _text(F.col("p_partkey")), F.lit(" (XY) here. It is so!")).alias("text")).createOrReplaceTempView("part_texts")
+    return spark.sql("""SELECT p_partkey, m.short, m.long, CAST(max(s.place) + 1 AS INT) AS sentences, max_by(s.sentence, s.place) AS last
+        FROM part_texts, LATERAL explode(abbreviations(text)) m(short, long), LATERAL sentences_of(text) s GROUP BY ALL""")

@@ -348,3 +348,12 @@ def page_texts(spark, sf_dir):
     from ..sources import pages as P
 
     return table(spark, sf_dir, "pages").select("page_id", F.md5(P.plain_text("html")).alias("text_md5"))
+
+
+@query("""SELECT c_custkey, 'field' || (c_custkey % 3) AS papers_field, CASE WHEN c_custkey % 2 = 0 THEN '10.1/' || (c_custkey % 20) END AS doi FROM customer WHERE c_custkey % 5 <> 0""")
+def ssrn_scan(spark, sf_dir):
+    """Landed rows: without an abstract they go, folders name their field, a title search gives DOIs."""
+    n = F.col("c_custkey")
+    raw = table(spark, sf_dir, "customer").select("c_custkey", F.when(n % 2 == 0, F.concat(F.lit("On "), (n % 20).cast("string"))).otherwise("None").alias("title"), F.when(n % 5 != 0, "text").alias("abstract_text"), F.concat(F.lit("s://x/field"), (n % 3).cast("string"), F.lit("/f.csv")).alias("f"))
+    hits = spark.range(20).select(F.concat(F.lit("on "), F.col("id").cast("string")).alias("title"), F.lit(0).alias("rank"), F.concat(F.lit("10.1/"), F.col("id").cast("string")).alias("doi"))
+    return S.ssrn_rows(raw, hits, F.col("f")).select("c_custkey", "papers_field", "doi")

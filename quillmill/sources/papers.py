@@ -79,6 +79,21 @@ def ssrn_field(c: str) -> Column:
     return F.trim(F.regexp_replace(F.col(c), r"&\s?|eJournal|Educator:?|Courses, Cases & Teaching|Teaching", ""))
 
 
+def ssrn_rows(raw: DataFrame, hits: DataFrame | None = None, file: Column | None = None) -> DataFrame:
+    """Landed rows as the SSRN formatter takes them: those with an abstract, with the field that their file's folder names.
+
+    hits: (title, rank, doi) of a landed title search, which gives the DOI; file: the file's path if not that of the scan.
+    """
+    from .landed import dois_by_title
+
+    parts = F.split(F.input_file_name() if file is None else file, "/")
+    out = raw.withColumn("papers_field", F.coalesce(F.try_element_at(parts, F.lit(-2)), F.lit(""))).filter(F.col("abstract_text").isNotNull())
+    if hits is None:
+        return out.withColumn("doi", F.lit(None).cast("string"))
+    found = dois_by_title(out.drop("doi"), hits)
+    return found.withColumn("doi", F.nullif("doi", F.lit("")))
+
+
 def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """All columns as text; types are set by the formatter, never inferred from data."""
     df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
