@@ -90,7 +90,7 @@ def dispatch(vectors: DataFrame, fields: DataFrame, top: int = 3, key: str = "ve
 
 
 def best_terms(docs: DataFrame, key: str, text: str | Column, n: int = 2, width: tuple[int, int] = (2, 3)) -> DataFrame:
-    """(key, phrase, rank): the n phrases of each document with the greatest tf-idf, as made queries."""
+    """(key, phrase, score, rank): the n phrases of each document with the greatest tf-idf, as made queries."""
     text = F.col(text) if isinstance(text, str) else text
     t = F.col("_terms")  # a column: lambdas would compute an expression anew for every place
 
@@ -103,6 +103,10 @@ def best_terms(docs: DataFrame, key: str, text: str | Column, n: int = 2, width:
     df = tf.groupBy("phrase").agg(F.count("*").alias("df"))
     total = docs.agg(F.count("*").alias("n")).withColumn("one", F.lit(1))
     df = df.withColumn("one", F.lit(1)).join(F.broadcast(total), "one")
-    scored = tf.join(df, "phrase").select(key, "phrase", F.round(F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1), 6).alias("score"))
+    # Frequent phrases are few (see FREQUENT) and sent to all tasks; none of the others is a hot key.
+    frequent = df.filter(F.col("df") * FREQUENT > F.col("n"))
+    rest = tf.join(F.broadcast(frequent.select("phrase")), "phrase", "left_anti").join(df.filter(F.col("df") * FREQUENT <= F.col("n")), "phrase")
+    both = tf.join(F.broadcast(frequent), "phrase").unionByName(rest)
+    scored = both.select(key, "phrase", F.round(F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1), 6).alias("score"))
     rank = F.row_number().over(W.partitionBy(key).orderBy(F.col("score").desc(), "phrase"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= n).select(key, "phrase", "score", "rank")

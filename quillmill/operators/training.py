@@ -24,6 +24,8 @@ ORDERS = {"BOMR": ("background", "objectives", "methods", "results"), "OBMR": ("
 WEIGHTS = {"BOMR": 60, "OBMR": 20, "MOBR": 20}
 NUMBERS = {"background": 0, "objectives": 1, "methods": 2, "results": 3, "other": 4}
 LEAST_WORDS = 8
+#: The tags of a tagger, in the order of their numbers.
+TAGS = ("O", "B-background", "I-background", "B-objectives", "I-objectives", "B-methods", "I-methods", "B-results", "I-results")
 
 
 def structured_only(papers: DataFrame, parts: str = "parts") -> DataFrame:
@@ -109,6 +111,22 @@ def tag_rows(papers: DataFrame, key: str = "doi", **columns) -> DataFrame:
     return made.select(key, F.array_join(F.transform("sections", lambda s: s["text"]), " ").alias("text"), S.section_tags("sections").alias("entities"), "order_name")
 
 
+def tag_numbers(tags: Column | str) -> Column:
+    """The numbers of tags; unknown tags are null."""
+    known = F.create_map(*(F.lit(x) for k, t in enumerate(TAGS) for x in (t, k)))
+    return F.transform(_col(tags), lambda t: F.try_element_at(known, t))
+
+
+def tagger_rows(landed: DataFrame, text: str = "text", entities: str = "entities") -> DataFrame:
+    """Landed training rows (entities: a list literal of tags) with words, tags and tag_ids; rows without text or tags go.
+
+    Tags of classes that occur once only are left out, with O if it does.
+    """
+    out = landed.filter(F.col(text).isNotNull() & F.col(entities).isNotNull())
+    out = pinned(out, tags=S.repaired_tags(X.literal_list(entities)), words=X.words(text))
+    return out.withColumn("tag_ids", tag_numbers("tags"))
+
+
 def split(df: DataFrame, key: str, percent: int = 80, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Rows to train on and rows to test on, by hash of the key."""
     at = chance(key, seed, "split", 100) < percent

@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.authors import without_point_zero
+from ..functions.authors import reference_url, without_point_zero
 from ..functions.rules import is_english
 from .tables import fill, fill_within, last_wins, quota_sample, upsert
 
@@ -65,6 +65,10 @@ class Zone:
         self.read().filter(~keep).write.mode("overwrite").parquet(staged)
         self.spark.read.parquet(staged).repartition(*self.partitions).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*self.partitions).parquet(self.path)
 
+    def reset(self) -> None:
+        """Drop all rows; the table and its columns stay."""
+        self.read().limit(0).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(self.path)
+
     def merge(self, key: str, order: str) -> DataFrame:
         """All partitions as one, later rows replacing earlier ones."""
         return last_wins(self.read(), key, order)
@@ -99,6 +103,12 @@ def clean(sections: DataFrame, dispatched: DataFrame) -> DataFrame:
     return fill(out, dispatched, "paper_name", "allauthors")
 
 
+def repair_websites(sections: DataFrame, database: str = "pmc", own_root: str = "") -> DataFrame:
+    """The links of one database's papers, made anew from their keys; only objectives have one."""
+    link = reference_url(F.lit(database), F.col("paper_name"), F.col("title"), own_root)
+    return sections.withColumn("website", F.when((F.col("database") == database) & (F.col("section") == "objectives"), link).otherwise(F.col("website")))
+
+
 def pivoted(sections: DataFrame) -> DataFrame:
     """One row a paper: how many messages each section has."""
     return sections.groupBy("paper_name").pivot("section", ["objectives", "methods", "results"]).agg(F.sum(F.size("messages")))

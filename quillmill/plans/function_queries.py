@@ -403,3 +403,27 @@ def sql_functions(spark, sf_dir):
     table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("We use Xa Yb"), _text(F.col("p_partkey")), F.lit(" (XY) here. It is so!")).alias("text")).createOrReplaceTempView("part_texts")
     return spark.sql("""SELECT p_partkey, m.short, m.long, CAST(max(s.place) + 1 AS INT) AS sentences, max_by(s.sentence, s.place) AS last
         FROM part_texts, LATERAL explode(abbreviations(text)) m(short, long), LATERAL sentences_of(text) s GROUP BY ALL""")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'B-objectives I-objectives O O' ELSE 'B-methods I-methods' END AS tags, CASE WHEN o_orderkey % 3 = 0 THEN '3 4 0 0' ELSE '5 6' END AS ids, 4 AS words FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0""")
+def tagger_rows(spark, sf_dir):
+    """Landed training rows: list literals repaired and numbered; rows without text or tags go."""
+    raw = _orders(spark, sf_dir).select("o_orderkey", F.when(_k() % 5 != 0, "one two three four").alias("text"), F.when(_k() % 7 == 0, F.lit(None)).when(_k() % 3 == 0, "['B-objectives', 'I-objectives', 'O', 'O']").otherwise("['B-methods', 'I-methods', 'O', 'B-results']").alias("entities"))
+    t = training.tagger_rows(raw)
+    return t.select("o_orderkey", F.array_join("tags", " ").alias("tags"), F.array_join(F.col("tag_ids").cast("array<string>"), " ").alias("ids"), F.size("words").alias("words"))
+
+
+@query(f"{BASE} SELECT fname, CASE WHEN journal = 'src1' AND section = 'objectives' THEN 'https://doi.org/' || paper_name ELSE 'old' END AS website FROM sections")
+def repaired_websites(spark, sf_dir):
+    """Links of one database's papers, from their keys."""
+    s = sections(spark, sf_dir).withColumns({"database": F.when(F.col("journal") == "src1", "pmc").otherwise("other"), "website": F.lit("old")})
+    return zones.repair_websites(s).select("fname", "website")
+
+
+@query("SELECT count(*) FILTER (WHERE false) AS left_over, count(*) AS written FROM documents")
+def zone_reset(spark, sf_dir):
+    """A zone that is emptied keeps its columns."""
+    z = _zone(spark, sf_dir)
+    written = z.read().count()
+    z.reset()
+    return z.read().agg(F.count("version").alias("left_over")).withColumn("written", F.lit(written).cast("long"))
