@@ -10,7 +10,7 @@ by content first, which loses no window:
    whole. Tasks do this for their own rows before anything is shuffled, so hot passages and copies shrink to one segment.
 3. Only anchors with two or more distinct segments need a closer look: the first holders' segments are cut from the texts
    and brought together by anchor, where a kernel (suffix sorting or an index) finds windows that segments share. Anchors
-   with very many distinct segments are taken window by window, dealt by the window's own hash.
+   with very many distinct segments are taken window by window: each window's least document is counted out and joined.
 
 Whole segments are compared by the hashes of their anchor and of themselves, 128 bits together; kernels compare units.
 """
@@ -22,7 +22,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -333,7 +332,7 @@ def _compare(t: pa.Table) -> pa.Table:
 
 
 def _cut(kind: Kind, buckets: int) -> Callable:
-    """The wanted segments' units, from the texts."""
+    """The wanted segments' units, from the texts; windows of anchors with very many segments one by one, in bucket -1."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
@@ -349,7 +348,7 @@ def _cut(kind: Kind, buckets: int) -> Callable:
                     else:
                         found = [(s, seg)]
                     for at, x in found:
-                        for c, v in zip(out, ((xxhash.xxh3_64_intdigest(x) if one else d) % buckets, doc, key, at, x), strict=True):
+                        for c, v in zip(out, (-1 if one else d % buckets, doc, key, at, x), strict=True):
                             c.append(v)
             yield pa.record_batch([pa.array(c, k) for c, k in zip(out, (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "doc_id", "row_key", "start", "seg"])
 
@@ -380,7 +379,14 @@ def repeats(docs: DataFrame, kind: Kind, kernel: Callable[[list[bytes], np.ndarr
         return pa.table([pa.array(ids[r]), pa.array(t.column("row_key").to_numpy()[r]), pa.array((s + t.column("start").to_numpy()[r]).astype(np.int32)), pa.array(n.astype(np.int32))], schema=SPAN)
 
     cut = docs.join(wanted, keys, "left").select("doc_id", "text", "row_key", "wanted").mapInArrow(_cut(kind, buckets), "bucket int, doc_id long, row_key long, start int, seg binary")
-    spans = found.filter("bucket is null").select(*keys, "start", "length").unionByName(cut.groupBy("bucket").applyInArrow(near, SPAN_DDL))
+    spans = found.filter("bucket is null").select(*keys, "start", "length").unionByName(cut.filter("bucket >= 0").groupBy("bucket").applyInArrow(near, SPAN_DDL))
+    if not found.filter("single").isEmpty():
+        # A window may stand in very many segments: its least document is found with sums before the shuffle, and both sides
+        # of the join are read from files, so that Spark can split it.
+        windows = settle(cut.filter("bucket < 0").select("seg", *keys, "start"))
+        least = settle(windows.groupBy("seg").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most"))
+        hits = windows.join(least, "seg").filter(F.col("doc_id") > F.col("least"))
+        spans = spans.unionByName(hits.select(*keys, "start", F.lit(kind.window).alias("length")))
     spans = spans.groupBy(*keys).agg(F.collect_list(F.struct("start", "length")).alias("spans"))
     return docs.join(spans, keys, "left").select("doc_id", "text", "row_key", "spans")
 
