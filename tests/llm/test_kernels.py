@@ -20,6 +20,27 @@ def test_suffix_array():
         assert suffix_dedup.suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
 
 
+def test_suffix_array_to_a_depth():
+    r = random.Random(7)
+    for _ in range(400):
+        s = np.array([r.randint(1, 2) for _ in range(r.randint(0, 60))] * r.randint(1, 3), np.int64)
+        for depth in (1, 2, 3, 4, 9, 10, 20):
+            order = suffix_dedup.suffix_array(s, depth).tolist()
+            assert sorted(order) == list(range(len(s)))
+            cut = [s[i : i + depth].tolist() for i in order]
+            assert cut == sorted(cut)
+
+
+def test_order_by_many_and_wide_keys():
+    r = np.random.default_rng(5)
+    for most in (1, 3, 1 << 20, 1 << 40, 1 << 62):
+        keys = [r.integers(0, most, 500) for _ in range(3)] + [r.integers(0, 3, 500)]
+        order, new = suffix_dedup.order_by(*keys)
+        rows = [tuple(int(k[i]) for k in keys) for i in order]
+        assert rows == sorted(rows) and new.tolist() == [i == 0 or rows[i] != rows[i - 1] for i in range(500)]
+    assert len(suffix_dedup.order_by(np.zeros(0, np.int64))[0]) == 0
+
+
 def test_shared_windows():
     r = random.Random(4)
     for _ in range(150):
