@@ -10,7 +10,8 @@ by content first, which loses no window:
    whole. Tasks do this for their own rows before anything is shuffled, so hot passages and copies shrink to one segment.
 3. Only anchors with two or more distinct segments need a closer look: the first holders' segments are cut from the texts
    and brought together by anchor, where a kernel (suffix sorting or an index) finds windows that segments share. Anchors
-   with very many distinct segments are taken window by window: each window's least document is counted out and joined.
+   with very many distinct segments are taken window by window, dealt by the window's own hash, each batch's least document
+   alone; the batch's others are told where they are read.
 
 Whole segments are compared by the hashes of their anchor and of themselves, 128 bits together; kernels compare units.
 """
@@ -22,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -332,24 +334,34 @@ def _compare(t: pa.Table) -> pa.Table:
 
 
 def _cut(kind: Kind, buckets: int) -> Callable:
-    """The wanted segments' units, from the texts; windows of anchors with very many segments one by one, in bucket -1."""
+    """The wanted segments' units, from the texts; windows of anchors with very many segments one by one.
+
+    A window of these that a smaller document of the batch also has is told at once, without its units.
+    """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             b = b.filter(b.column(3).is_valid())
             out: list[list] = [[], [], [], [], []]
+            alone: list[tuple] = []
             for doc, text, key, wanted in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3), strict=True):
                 w = wanted.values
                 starts, lengths, deal, single = (w.field(k).to_pylist() for k in ("start", "length", "bucket", "single"))
                 got = kind.slices(text.as_buffer().to_pybytes() if text.is_valid else b"", starts, lengths)
                 for s, n, d, one, seg in zip(starts, lengths, deal, single, got, strict=True):
                     if one:
-                        found = [(s + k, x) for k, x in enumerate(kind.slices(seg, list(range(n - kind.window + 1)), [kind.window] * (n - kind.window + 1)))]
+                        alone += [(doc, key, s + k, x) for k, x in enumerate(kind.slices(seg, list(range(n - kind.window + 1)), [kind.window] * (n - kind.window + 1)))]
                     else:
-                        found = [(s, seg)]
-                    for at, x in found:
-                        for c, v in zip(out, (-1 if one else d % buckets, doc, key, at, x), strict=True):
+                        for c, v in zip(out, (d % buckets, doc, key, s, seg), strict=True):
                             c.append(v)
+            least: dict[bytes, int] = {}
+            for doc, _, _, x in alone:
+                if least.get(x, doc) >= doc:
+                    least[x] = doc
+            for doc, key, at, x in alone:
+                row = (key % buckets, doc, key, at, None) if doc > least[x] else (xxhash.xxh3_64_intdigest(x) % buckets, doc, key, at, x)
+                for c, v in zip(out, row, strict=True):
+                    c.append(v)
             yield pa.record_batch([pa.array(c, k) for c, k in zip(out, (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "doc_id", "row_key", "start", "seg"])
 
     return run
@@ -369,6 +381,11 @@ def repeats(docs: DataFrame, kind: Kind, kernel: Callable[[list[bytes], np.ndarr
     wanted = found.filter("bucket is not null").groupBy(*keys).agg(F.collect_list(F.struct("start", "length", "bucket", "single")).alias("wanted"))
 
     def near(t: pa.Table) -> pa.Table:
+        told = t.filter(t.column("seg").is_null())
+        told = pa.Table.from_arrays([*(told.column(c) for c in ("doc_id", "row_key", "start")), pa.array(np.full(told.num_rows, kind.window, np.int32))], schema=SPAN)
+        t = t.filter(t.column("seg").is_valid())
+        if not t.num_rows:
+            return told
         segs, ids = t.column("seg").to_pylist(), t.column("doc_id").to_numpy()
         covered = kernel(segs, ids)
         sizes = np.array([kind.count(x) for x in segs], np.int64)
@@ -376,17 +393,10 @@ def repeats(docs: DataFrame, kind: Kind, kernel: Callable[[list[bytes], np.ndarr
         at = np.flatnonzero(covered)
         seg = np.searchsorted(base, at, "right") - 1
         r, s, n = joined(seg, at - base[seg], np.full(len(at), kind.window))
-        return pa.table([pa.array(ids[r]), pa.array(t.column("row_key").to_numpy()[r]), pa.array((s + t.column("start").to_numpy()[r]).astype(np.int32)), pa.array(n.astype(np.int32))], schema=SPAN)
+        return pa.concat_tables([told, pa.table([pa.array(ids[r]), pa.array(t.column("row_key").to_numpy()[r]), pa.array((s + t.column("start").to_numpy()[r]).astype(np.int32)), pa.array(n.astype(np.int32))], schema=SPAN)])
 
     cut = docs.join(wanted, keys, "left").select("doc_id", "text", "row_key", "wanted").mapInArrow(_cut(kind, buckets), "bucket int, doc_id long, row_key long, start int, seg binary")
-    spans = found.filter("bucket is null").select(*keys, "start", "length").unionByName(cut.filter("bucket >= 0").groupBy("bucket").applyInArrow(near, SPAN_DDL))
-    if not found.filter("single").isEmpty():
-        # A window may stand in very many segments: its least document is found with sums before the shuffle, and both sides
-        # of the join are read from files, so that Spark can split it.
-        windows = settle(cut.filter("bucket < 0").select("seg", *keys, "start"))
-        least = settle(windows.groupBy("seg").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most"))
-        hits = windows.join(least, "seg").filter(F.col("doc_id") > F.col("least"))
-        spans = spans.unionByName(hits.select(*keys, "start", F.lit(kind.window).alias("length")))
+    spans = found.filter("bucket is null").select(*keys, "start", "length").unionByName(cut.groupBy("bucket").applyInArrow(near, SPAN_DDL))
     spans = spans.groupBy(*keys).agg(F.collect_list(F.struct("start", "length")).alias("spans"))
     return docs.join(spans, keys, "left").select("doc_id", "text", "row_key", "spans")
 
