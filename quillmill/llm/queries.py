@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, fingerprint, fm_dedup, html_extract, line_dedup, near_dedup, packing, suffix_dedup, toxicity, warc
+from . import decontam, exact_dedup, fingerprint, fm_dedup, html_extract, line_dedup, near_dedup, packing, suffix_dedup, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_decontamination": decontam.op8_decontamination,
         "op9_html_extract": html_extract.op9_html_extract,
         "op10_warc": warc.op10_warc,
+        "op11_exact_dedup": exact_dedup.op11_exact_dedup,
     }
 
 
@@ -28,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_substring_dedup": fm_dedup.ORACLE_OP7,
         "op9_html_extract": html_extract.ORACLE_OP9,
         "op10_warc": warc.ORACLE_OP10,
+        "op11_exact_dedup": exact_dedup.ORACLE_OP11,
     }
