@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, exact_dedup, fingerprint, fm_dedup, html_extract, line_dedup, near_dedup, packing, suffix_dedup, toxicity, warc
+from . import decontam, exact_dedup, fingerprint, fm_dedup, html_extract, itemsets, line_dedup, near_dedup, packing, prefix_trie, suffix_dedup, toxicity, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,8 @@ def queries() -> dict:
         "op9_html_extract": html_extract.op9_html_extract,
         "op10_warc": warc.op10_warc,
         "op11_exact_dedup": exact_dedup.op11_exact_dedup,
+        "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+        "op13_itemsets": itemsets.op13_itemsets,
     }
 
 
@@ -30,4 +32,6 @@ def oracle_sql() -> dict[str, str]:
         "op9_html_extract": html_extract.ORACLE_OP9,
         "op10_warc": warc.ORACLE_OP10,
         "op11_exact_dedup": exact_dedup.ORACLE_OP11,
+        "op12_prefix_trie": prefix_trie.ORACLE_OP12,
+        "op13_itemsets": itemsets.ORACLE_OP13,
     }
