@@ -38,6 +38,8 @@ THRESHOLD = 0.7
 #: Lexicon units need so many toxic rows of the sample and so high a log-odds weight.
 MIN_ROWS, MIN_WEIGHT = 3, 2.5
 TREES, DEPTH, RATE, BINS = 80, 3, 0.15, 32
+#: Least sum of hessians of a leaf and the penalty of its value: small, as a few hundred labelled rows have few toxic ones.
+LEAF, RIDGE = 0.3, 2.0
 NEAR_WORDS = 5
 KNOWN_TOKENS = 200_000
 #: Second-person words of the languages at hand, and signs that stand for letters.
@@ -118,7 +120,7 @@ class Tokens:
 class Boosted:
     """Trees of fixed depth for the logistic loss, grown level by level from histograms of quantile bins."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, rate: float = RATE, least: float = 4.0, ridge: float = 2.0):
+    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, rate: float = RATE, least: float = LEAF, ridge: float = RIDGE):
         n, m = x.shape
         self.depth = depth
         self.cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(m)]
