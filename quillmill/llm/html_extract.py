@@ -29,6 +29,7 @@ from .common import table, tune
 #: Elements that break a line of text, that hold no text, that have no end tag, and that others end.
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html iframe legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead tr ul video audio canvas".split())
 SILENT = frozenset("script style template head title noscript svg object".split())
+SECTIONS = frozenset("article main body header footer nav section aside h1".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Words of notices, forms and page furniture.
@@ -36,28 +37,58 @@ CUES = frozenset("cookie cookies privacy copyright subscribe newsletter login re
 _PART = re.compile(r"[a-z]+|\d+")
 
 
+class Element:
+    """An open element and what there is of the elements around it. What an element adds nothing to is shared, not copied, so
+    a page's depth costs no more than its length. words: those of class, id and role that the model knows."""
+
+    __slots__ = ("tag", "own", "tags", "words", "near", "last", "under", "holders", "main")
+
+    def __init__(self, tag: str, words: tuple[str, ...], known: frozenset[str] | None, above: Element | None):
+        self.tag = tag
+        own = frozenset(w for w in words if not w.isdigit() and (known is None or w in known))
+        held = above.words if above else frozenset()
+        self.words = held if own <= held else held | own
+        self.near = own if words else above.near if above else frozenset()
+        self.tags, self.last, self.under, self.holders, self.main = (above.tags, above.last, above.under, above.holders, above.main) if above else (frozenset(), "none", "none", 0, -1)
+        if tag in BLOCK_TAGS:
+            if tag not in self.tags and tag not in ("html", "body"):
+                self.tags |= {tag}
+            self.last, self.under = tag, self.last
+            if tag in ("article", "main"):
+                self.main = self.holders
+            self.holders += 1
+
+
+_NOWHERE = Element("", (), None, None)
+
+
 class Block:
-    __slots__ = ("path", "text", "linked")
+    __slots__ = ("at", "text", "linked")
 
-    def __init__(self, path, text, linked):
-        self.path, self.text, self.linked = path, text, linked
+    def __init__(self, at, text, linked):
+        self.at, self.text, self.linked = at, text, linked
 
 
 class _Parser(HTMLParser):
-    """Leaf blocks in page order. path: (tag, words of class, id and role) of the open elements, outermost first."""
+    """Leaf blocks in page order, each with the innermost element around it."""
 
-    def __init__(self):
+    def __init__(self, known: frozenset[str] | None = None):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, tuple[str, ...]]] = []
+        self.known = known
+        self.open: list[Element] = []
         self.blocks: list[Block] = []
         self.parts: list[str] = []
         self.linked = self.silent = self.links = 0
         self.there: Counter[str] = Counter()  # open elements by tag
 
+    def parse_marked_section(self, i, report=1):
+        """Sections of any name (<![if x]>, <![x[y]]>) are no markup of pages: comments up to the next >."""
+        return self.parse_bogus_comment(i)
+
     def flush(self) -> None:
         if self.parts:
             if text := " ".join("".join(self.parts).split()):
-                self.blocks.append(Block(tuple(self.open), text, min(1.0, self.linked / len(text))))
+                self.blocks.append(Block(self.open[-1] if self.open else _NOWHERE, text, min(1.0, self.linked / len(text))))
             self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag, attrs):
@@ -65,14 +96,16 @@ class _Parser(HTMLParser):
             self.parts.append(" ")
         if tag in BLOCK_TAGS:
             self.flush()
+            if self.silent:
+                self._leave(tag)
             self._close("p")
             if tag in ENDS and self.open:
-                while self.open and self.open[-1][0] in ENDS[tag]:
+                while self.open and self.open[-1].tag in ENDS[tag]:
                     self._pop()
         if tag in VOID:
             return
         words = tuple(w for k, v in attrs if v and k in ("class", "id", "role", "itemprop") for w in _PART.findall(v.lower()))
-        self.open.append((tag, words))
+        self.open.append(Element(tag, words, self.known, self.open[-1] if self.open else None))
         self.there[tag] += 1
         self.silent += tag in SILENT
         self.links += tag == "a"
@@ -83,7 +116,7 @@ class _Parser(HTMLParser):
             self.handle_endtag(tag)
 
     def _pop(self) -> str:
-        tag, _ = self.open.pop()
+        tag = self.open.pop().tag
         self.there[tag] -= 1
         self.silent -= tag in SILENT
         self.links -= tag == "a"
@@ -94,6 +127,14 @@ class _Parser(HTMLParser):
             while self._pop() != tag:
                 pass
 
+    def _leave(self, tag) -> None:
+        """Parts of a page can't stand in drawings or notices for other browsers: those weren't ended."""
+        if not self.there["foreignobject"]:
+            self._close("svg")
+        if tag in SECTIONS:
+            self._close("noscript")
+            self._close("object")
+
     def handle_endtag(self, tag):
         if tag in BLOCK_TAGS:
             self.flush()
@@ -106,8 +147,9 @@ class _Parser(HTMLParser):
                 self.linked += len(data.strip())
 
 
-def blocks_of(html: str | None) -> list[Block]:
-    parser = _Parser()
+def blocks_of(html: str | None, known: frozenset[str] | None = None) -> list[Block]:
+    """known: words of class, id and role to look at, all by default."""
+    parser = _Parser(known)
     parser.feed(html or "")
     parser.close()
     parser.flush()
@@ -124,12 +166,9 @@ def features(blocks: list[Block]) -> list[list[str]]:
     for b in blocks:
         words = b.text.split()
         n = len(words)
-        f = {"1", f"tag={next((t for t, _ in reversed(b.path) if t in BLOCK_TAGS), 'none')}", f"words={_level(n, (2, 4, 8, 15, 30, 60))}", f"linked={_level(b.linked, (0.05, 0.35, 0.7, 0.95))}", f"end={b.text[-1] in '.!?:;…»”’' + chr(34)}", f"commas={_level(b.text.count(','), (1, 3))}"}
-        f |= {f"in={t}" for t, _ in b.path if t in BLOCK_TAGS and t not in ("html", "body")}
-        f |= {f"has={w}" for _, ws in b.path for w in ws if not w.isdigit()}
-        holders = [t for t, _ in b.path if t in BLOCK_TAGS]
-        f |= {f"under={holders[-2] if len(holders) > 1 else 'none'}", f"deep={min(4, len(holders) - 1 - max((k for k, t in enumerate(holders) if t in ('article', 'main')), default=-1))}"}
-        f |= {f"near={w}" for w in next((ws for _, ws in reversed(b.path) if ws), ()) if not w.isdigit()}
+        at = b.at
+        f = {"1", f"tag={at.last}", f"words={_level(n, (2, 4, 8, 15, 30, 60))}", f"linked={_level(b.linked, (0.05, 0.35, 0.7, 0.95))}", f"end={b.text[-1] in '.!?:;…»”’' + chr(34)}", f"commas={_level(b.text.count(','), (1, 3))}", f"under={at.under}", f"deep={min(4, at.holders - 1 - at.main)}"}
+        f |= {f"in={t}" for t in at.tags} | {f"has={w}" for w in at.words} | {f"near={w}" for w in at.near}
         if any(w.strip(".,:;!?()").lower() in CUES for w in words):
             f.add("cue")
         if "©" in b.text or "|" in b.text or "·" in b.text or "»" in b.text:
@@ -148,6 +187,7 @@ class Crf:
 
     def __init__(self, weights: dict[str, float], moves: np.ndarray):
         self.weights, self.moves = weights, moves.tolist()
+        self.known = frozenset(x.split("=", 1)[1] for x in weights if x.startswith(("has=", "near=")))
 
     def decode(self, pages: list[list[str]]) -> list[int]:
         """The likeliest labels of a page's blocks, by Viterbi."""
@@ -344,7 +384,7 @@ def model() -> Crf:
 
 
 def main_text(html: str | None, crf: Crf) -> str:
-    blocks = blocks_of(html)
+    blocks = blocks_of(html, crf.known)
     return "\n\n".join(b.text for b, y in zip(blocks, crf.decode(features(blocks)), strict=True) if y)
 
 
