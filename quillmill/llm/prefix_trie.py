@@ -108,8 +108,8 @@ class _Value:
 class Block:
     """One pass over a block's rows in order. chains, pieces: what is known of nodes already; edge(): what other blocks ask."""
 
-    def __init__(self, block: int, above: list | None):
-        self.block, self.above = block, above
+    def __init__(self, block: int, above: list | None, piece: int = PIECE):
+        self.block, self.above, self.piece = block, above, piece
         self.stack: list[_Value] = []
         self.chains: list[tuple] = []
         self.pieces: list[tuple] = []
@@ -127,7 +127,7 @@ class Block:
             g.ends_at = place
         g.ends.append(conv)
         g.n_ends += 1
-        if len(g.ends) >= PIECE:
+        if len(g.ends) >= self.piece:
             self._flush(g)
 
     def _flush(self, g: _Value) -> None:
@@ -227,7 +227,7 @@ def _spec(columns: str) -> str:
     return ",".join(c.replace(" ", ":", 1) for c in columns.split(", "))
 
 
-def scanned(blocks: DataFrame) -> DataFrame:
+def scanned(blocks: DataFrame, piece: int = PIECE) -> DataFrame:
     """(chain, piece, edge), of which each row has one."""
     types = {"chain": _arrow(CHAIN), "piece": _arrow(PIECES), "edge": _arrow(EDGE)}
 
@@ -252,7 +252,7 @@ def scanned(blocks: DataFrame) -> DataFrame:
                             edge = held.edge(below)
                             yield from out(chain=held.chains, piece=held.pieces, edge=[edge])
                             below = None
-                        held, above = Block(block, above), None
+                        held, above = Block(block, above, piece), None
                     held.add(keys, sizes, conv)
             if held is not None:
                 yield from out(chain=held.chains, piece=held.pieces)
@@ -391,11 +391,11 @@ def hashed_ends(pieces: DataFrame) -> DataFrame:
     return pieces.repartition(parts(pieces), "l", "v").sortWithinPartitions("l", "v", "place").select("l", "v", "ids", "n").mapInArrow(run, "l long, v int, sha string, ends_here long")
 
 
-def trie(convs: DataFrame) -> DataFrame:
+def trie(convs: DataFrame, piece: int = PIECE) -> DataFrame:
     """convs: (conv_id, keys, sizes). A row for each node: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves,
     saved_tokens, ends_sha256."""
     tune(convs.sparkSession)
-    found = settle(scanned(in_blocks(convs)))
+    found = settle(scanned(in_blocks(convs), piece))
     edges = settle(found.filter("edge is not null").select("edge.*"))
     opened = settle(open_chains(edges))
     lefts = opened.filter("left_open").select("block", "v", "l")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import base64
 import collections
 import hashlib
+import random
+import time
 import zlib
 
 import numpy as np
@@ -180,6 +182,34 @@ def test_deep_pages_and_long_classes():
     assert any(f == "has=advertisement" for f in html_extract.features(blocks)[0])
 
 
+@pytest.mark.parametrize("page", ["<div>x" * 50_000, "".join(f'<div class="k{k} content">x' for k in range(20_000)), "<p class='" + "a b " * 50_000 + "'>" + "<i>y</i><p>" * 3000])
+def test_depth_costs_no_more_than_length(page):
+    crf, began = html_extract.model(), time.process_time()
+    html_extract.main_text(page, crf)
+    assert time.process_time() - began < 20
+
+
+BROKEN = ["<![foo[y]]>", "<![ 1 >", "<![", "<!", "<!-", "<!--", "<![CDATA[x", "</", "<?", "<a <b", "<![if x]>t<![endif]>", "&#x", "&", "]]>", "\x00", "<svg><path>", "<noscript>", "<b a='"]
+
+
+def test_broken_markup_ends_no_job(spark):
+    r = random.Random(2)
+    pages = [html_extract._page(r) for _ in range(20)]
+    rows = [(k, "u", b) for k, b in enumerate(BROKEN)]
+    for k in range(300):
+        p = r.choice(pages)
+        a, b = r.randrange(len(p)), r.randrange(len(p))
+        rows.append((100 + k, "u", p[:a] + r.choice(BROKEN) + p[b:]))
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows) and all(x.text is not None for x in got)
+
+
+@pytest.mark.parametrize("left_open", ["<svg><path d='1'>", "<noscript>off", "<object>none", "<![endif]>"])
+def test_an_element_left_open_swallows_no_article(left_open):
+    page = f"<body><nav><a href=/>Home</a></nav>{left_open}<article><h1>The title of it</h1><p>It is the text of this page, as it stands here, with words.</p></article></body>"
+    assert html_extract.main_text(page, html_extract.model()).endswith("The title of it\n\nIt is the text of this page, as it stands here, with words.")
+
+
 def test_very_long_texts(spark):
     words = [f"w{k * 7919 % 100_003}x" for k in range(200_000)]
     long = " ".join(words)  # over a million characters

@@ -60,6 +60,13 @@ def _write(path, docs: list[tuple], pages=True):
     pq.write_table(pa.table({"item_id": pa.array([b[0] for b in BENCH], pa.int64()), "text": pa.array([b[1] for b in BENCH], pa.string())}), path / "benchmark.parquet")
     html = HTML if pages else []
     pq.write_table(pa.table({"page_id": pa.array(range(len(html)), pa.int64()), "url": pa.array([None if k == 1 else f"http://a.org/{k}" for k in range(len(html))], pa.string()), "html": pa.array(html, pa.string())}), path / "pages.parquet")
+    r = random.Random(len(docs))
+    talks = [(c, None if t == 9 else t, r.choice(["user", None, "bot"]), r.choice(["x", "yy", "", None, "zé"])) for c in (*range(40), 100, 101, 150, 230, -7) for t in r.sample(range(10), r.choice([1, 3, 6]))] if docs else []
+    clash = {k: pa.array([1] * len(talks), pa.int64()) for k in ("keys", "block", "at", "turns", "l", "v")}
+    pq.write_table(pa.table({"conv_id": pa.array([t[0] for t in talks], pa.int64()), "turn": pa.array([t[1] for t in talks], pa.int64()), **{c: pa.array([t[k] for t in talks], pa.string()) for k, c in ((2, "role"), (3, "text"))}, **clash}), path / "conversations.parquet")
+    sold = [(s, i) for s in (None, *range(90)) for i in r.sample([None, *range(8)], r.randint(0, 6)) for _ in range(r.choice([1, 1, 2]))] if docs else []
+    clash = {k: pa.array([1] * len(sold), pa.int64()) for k in ("basket", "item", "s", "part", "tail", "support")}
+    pq.write_table(pa.table({"sale_id": pa.array([x[0] for x in sold], pa.int64()), "item_id": pa.array([x[1] for x in sold], pa.int64()), "flag": pa.array([None] * len(sold), pa.string()), **clash}), path / "sale_lines.parquet")
     return str(path)
 
 
@@ -89,7 +96,7 @@ def test_empty_tables(spark, empty, name):
     assert len(run(spark, name, empty)) == 0
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.queries()) - {"op8_decontamination", "op6_packing", "op9_html_extract", "op10_warc"}))
+@pytest.mark.parametrize("name", sorted(set(queries.queries()) - {"op8_decontamination", "op6_packing", "op9_html_extract", "op10_warc", "op12_prefix_trie", "op13_itemsets"}))
 def test_repeated_rows_and_null_ids(spark, odd, name):
     got = run(spark, name, odd)
     assert len(got) == 8 and got.doc_id.isna().sum() == 2
@@ -113,19 +120,20 @@ def test_op2(spark, sf):
         assert got.held_out[k] == (zlib.crc32(str(k).encode()) % 3 == 1) and got.predicted[k] == int(got.score[k] >= 0.7)
 
 
-def test_op2_learns_on_the_given_tables(spark):
-    d = "/root/testdata/sf0.01"
+@pytest.mark.parametrize(("size", "recall", "least_auc"), [("sf0.01", 0.6, 0.93), ("sf0.1", 0.9, 0.98)])
+def test_op2_learns_on_the_given_tables(spark, size, recall, least_auc):
+    d = f"/root/testdata/{size}"
     got = run(spark, "op2_toxicity", d).merge(spark.read.parquet(f"{d}/labels.parquet").toPandas(), on="doc_id")
     held = got[got.held_out]
     a, b = held[held.toxic == 1].score.to_numpy(), held[held.toxic == 0].score.to_numpy()
     auc = np.mean((a[:, None] > b[None, :]) + 0.5 * (a[:, None] == b[None, :]))
-    assert auc > 0.9
+    assert auc > least_auc and (a >= 0.7).mean() >= recall and not (b >= 0.7).any()
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_answer_as_their_sql_does(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations", "sale_lines"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     got, want = run(spark, name, sf), con.sql(queries.oracle_sql()[name]).df()
     plain = lambda v: None if v is None or v != v else v
