@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.rules import terms
+from ..shared import settle
 
 #: At most so many field vectors are sent to all tasks; a larger table is refused, as fields are few by their nature.
 MOST_FIELDS = 4096
@@ -32,7 +33,8 @@ def tfidf_scores(docs: DataFrame, query: str, key: str, text: str | Column, stop
     """
     spark = docs.sparkSession
     text = F.col(text) if isinstance(text, str) else text
-    tf = docs.select(key, F.explode(terms(text, stop)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    # Written once: documents are cut into terms once, not for each of the joins below.
+    tf = settle(docs.select(key, F.explode(terms(text, stop)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")))
     asked = spark.range(1).select(F.explode(terms(F.lit(query), stop)).alias("term")).groupBy("term").agg(F.count("*").alias("qtf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df")).join(asked, "term", "full_outer").select("term", (F.coalesce("df", F.lit(0)) + F.when(F.col("qtf").isNotNull(), 1).otherwise(0)).alias("df"), "qtf")
     n = docs.agg((F.count("*") + 1).alias("n"))
@@ -99,7 +101,7 @@ def best_terms(docs: DataFrame, key: str, text: str | Column, n: int = 2, width:
         return F.when(F.size(t) >= w, made).otherwise(F.array().cast("array<string>"))
 
     rows = docs.select(key, terms(text).alias("_terms"))
-    tf = rows.select(key, F.explode(F.concat(*map(grams, range(width[0], width[1] + 1)))).alias("phrase")).groupBy(key, "phrase").agg(F.count("*").alias("tf"))
+    tf = settle(rows.select(key, F.explode(F.concat(*map(grams, range(width[0], width[1] + 1)))).alias("phrase")).groupBy(key, "phrase").agg(F.count("*").alias("tf")))
     df = tf.groupBy("phrase").agg(F.count("*").alias("df"))
     total = docs.agg(F.count("*").alias("n")).withColumn("one", F.lit(1))
     df = df.withColumn("one", F.lit(1)).join(F.broadcast(total), "one")

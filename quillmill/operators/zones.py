@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.authors import reference_url, without_point_zero
 from ..functions.rules import is_english
+from ..shared import settle
 from .tables import fill, fill_within, last_wins, quota_sample, upsert
 
 
@@ -40,30 +41,40 @@ class Zone:
         df.repartition(*self.partitions).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*self.partitions).parquet(self.path)
 
     def upsert(self, df: DataFrame, key: str) -> None:
-        """New rows replace old ones of equal key. The result is staged first, as it reads what it replaces."""
+        """New rows replace old ones of equal key, whichever partition those are in.
+
+        Only partitions that new rows go to, or that lose a row to another one, are rewritten. The result is staged first, in a
+        folder of this write's own, as it reads what it replaces. Partitions that have lost all their rows are emptied last.
+        """
         if not self.exists():
             return self.write(df)
-        names = df.select(*self.partitions).distinct()
-        old = self.read().join(names, list(self.partitions), "left_semi")
-        staged = f"{self.path}__staged"
-        upsert(old, df, key).write.mode("overwrite").parquet(staged)
-        self.write(self.spark.read.parquet(staged))
+        new = settle(df)
+        keys = new.select(key).distinct()
+        touched = settle(new.select(*self.partitions).unionByName(self.read().join(keys, key, "left_semi").select(*self.partitions)).distinct())
+        same = lambda other: [touched[c].eqNullSafe(other[c]) for c in self.partitions]
+        held = self.read()
+        staged = settle(upsert(held.join(touched, same(held), "left_semi"), new, key))
+        self.write(staged)
+        empty = touched.join(staged, same(staged), "left_anti")
+        for row in empty.collect():  # partitions, not rows
+            self.remove(**row.asDict())
         return None
 
     def compact(self) -> None:
         """Rewrite every partition in few files."""
-        staged = f"{self.path}__staged"
-        self.read().write.mode("overwrite").partitionBy(*self.partitions).parquet(staged)
-        self.write(self.spark.read.parquet(staged))
+        self.write(settle(self.read()))
 
-    def remove(self, **where: str) -> None:
-        """Drop the rows of some partitions."""
-        keep = F.lit(True)
+    def remove(self, **where: str | None) -> None:
+        """Drop the rows of some partitions. Only their folders are written, each with an empty file that keeps the columns."""
+        rows = self.read()
         for k, v in where.items():
-            keep = keep & (F.col(k) == v)
-        staged = f"{self.path}__staged"
-        self.read().filter(~keep).write.mode("overwrite").parquet(staged)
-        self.spark.read.parquet(staged).repartition(*self.partitions).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*self.partitions).parquet(self.path)
+            rows = rows.filter(F.col(k).eqNullSafe(F.lit(v)))
+        # The column is an address, with signs of a partition's value written as %..; a path has them as they are.
+        path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+        folders = rows.select(F.regexp_replace(path, "/[^/]*$", "").alias("at")).distinct().collect()  # partitions, not rows
+        schema = self.read().drop(*self.partitions).schema
+        for folder in folders:
+            self.spark.createDataFrame([], schema).coalesce(1).write.mode("overwrite").parquet(folder["at"])
 
     def reset(self) -> None:
         """Drop all rows; the table and its columns stay."""

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import function_queries, queries, source_queries  # noqa: F401  (modules register their queries when they are imported)
+from . import detail_queries, function_queries, model_queries, queries, source_queries  # noqa: F401  (modules register their queries when they are imported)
 
 QUERIES, SQL = queries.QUERIES, queries.SQL

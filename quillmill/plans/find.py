@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import authors as A
 from ..functions import rules as R
 from ..operators import ranking, search
+from ..shared import settle
 
 RELEVANT = 0.05
 
@@ -29,11 +30,10 @@ def matching(sections: DataFrame, query: str, top_n: int | None = 200, year_from
     return search.candidates(sections, hit & search.years("year", year_from, year_to), top_n)
 
 
-def find_papers(sections: DataFrame, query: str, top_n: int = 10, year_from: int | None = None, year_to: int | None = None, sort_by: str = "relevance", most: int = 200, min_df: float = 0.05) -> DataFrame:
+def find_papers(sections: DataFrame, query: str, top_n: int = 10, year_from: int | None = None, year_to: int | None = None, sort_by: str = "relevance", most: int | None = 200, min_df: float = 0.05) -> DataFrame:
     """One section a paper with score and rank, by relevance (tf-idf over the candidates), citations or date."""
-    found = matching(sections, query, most, year_from, year_to)
-    # At most `most` rows: looked up once, as scores need them several times.
-    found = sections.sparkSession.createDataFrame(found.collect(), found.schema)
+    # Looked up once, as scores need the rows several times.
+    found = settle(matching(sections, query, most, year_from, year_to))
     text = F.array_join("messages", " ")
     scores = ranking.tfidf_scores(found, query.replace('"', " "), "fname", text, min_df=min_df)
     df = found.join(scores, "fname", "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 6))

@@ -256,8 +256,8 @@ def _year() -> Column:
 @query("""SELECT '10.1/' || c_custkey AS doi, 'On ' || c_name AS title, 'Ann X, Bob Y' AS authors, CASE WHEN c_custkey % 5 = 0 THEN 'In press' ELSE 'Text of ' || c_custkey END AS abstract, CASE WHEN c_custkey % 5 = 0 THEN 2022 ELSE CAST(1990 + c_custkey % 30 AS INTEGER) END AS year, 'a, b' AS keywords, 'J1' AS journal FROM customer""")
 def hal_pages(spark, sf_dir):
     press = F.col("c_custkey") % 5 == 0
-    html = F.concat(F.lit('<html><body><div class="result-text"><h3 class="title"> On '), F.col("c_name"), F.lit('</h3><div class="authors"><span class="author">Ann X</span> <span class="author">Bob Y</span></div><div class="abstract-content">'), F.when(press, "In press").otherwise(F.concat(F.lit("Text of "), _n())),
-                    F.lit('</div><div class="keywords"><span>a</span><span>b</span></div><div class="citation-ref"><i>J1</i>, '), F.when(press, "In press").otherwise(_year()), F.lit('</div><a class="doi" href="https://doi.org/10.1/'), _n(), F.lit('">10.1</a></div></body></html>'))
+    html = F.concat(F.lit('<html><body><div class="result-text"><h3 class="title"> On '), F.col("c_name"), F.lit('</h3><div class="authors"><span class="author">Ann X</span> <span class="author">Bob Y</span></div><div class="abstract-content"><div>'), F.when(press, "In press").otherwise(F.concat(F.lit("Text</div> <div><div>of</div> </div>"), _n(), F.lit("<div>"))),
+                    F.lit('</div></div><div class="keywords"><span>a</span><span>b</span></div><div class="citation-ref"><i>J1</i>, '), F.when(press, "In press").otherwise(_year()), F.lit('</div><a class="doi" href="https://doi.org/10.1/'), _n(), F.lit('">10.1</a></div></body></html>'))
     return _landed(spark, sf_dir, "hal", html).select("doi", "title", "authors", "abstract", "year", "keywords", "journal")
 
 
@@ -283,14 +283,14 @@ def pubmed_records(spark, sf_dir):
 
 @query("""SELECT CAST(c_custkey AS VARCHAR) AS abstract_id, 'On ' || c_name AS title, 'Ann X, Bob Y' AS authors, CAST(1990 + c_custkey % 30 AS INTEGER) AS year, 'Law' AS field, c_custkey % 40 AS pages, 'Text of ' || c_custkey AS abstract_text, 'a, b' AS keywords FROM customer""")
 def ssrn_pages(spark, sf_dir):
-    html = F.concat(F.lit("<div class=\"box-abstract-main\"><h1>On "), F.col("c_name"), F.lit("</h1><p class=\"note note-list\"><span>"), (F.col("c_custkey") % 40).cast("string"), F.lit(" Pages</span><span>Posted: 1 Jan "), _year(), F.lit("</span></p><div class=\"authors\"><h2><a href=\"x\">Ann X</a></h2><h2><a href=\"y\">Bob Y</a></h2></div><div class=\"abstract-text\"><h3>Abstract</h3><p>Text of "), _n(),
+    html = F.concat(F.lit("<div class=\"box-abstract-main\"><h1>On "), F.col("c_name"), F.lit("</h1><p class=\"note note-list\"><span>"), (F.col("c_custkey") % 40).cast("string"), F.lit(" Pages</span><span>Posted: 1 Jan "), _year(), F.lit("</span></p><div class=\"authors\"><h2><a href=\"x\">Ann X</a></h2><h2><a href=\"y\">Bob Y</a></h2></div><div class=\"abstract-text\"><h3>Abstract</h3><div><div>Text</div> of</div><p>"), _n(),
                     F.lit("</p></div><p><strong>Keywords: </strong>a, b</p><div class=\"group-field\"><h2>Law</h2></div></div><input name=\"abstract_id\" value=\""), _n(), F.lit("\">"))
     return _landed(spark, sf_dir, "ssrn", html).select("abstract_id", "title", "authors", "year", "field", "pages", "abstract_text", "keywords")
 
 
 @query("""SELECT 'https://doi.org/10.5/' || c_custkey AS doi, 'On ' || c_name AS title, 'Ann X, and Bob Y' AS authors, CAST(1990 + c_custkey % 30 AS INTEGER) AS year, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'Text of ' || c_custkey END AS abstract FROM customer""")
 def egu_pages(spark, sf_dir):
-    body = F.when(F.col("c_custkey") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("<div class=\"short_summary\">Text of "), _n(), F.lit("</div>")))
+    body = F.when(F.col("c_custkey") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("<div class=\"short_summary\"><div class=\"x\">Text</div> <div>of <div>"), _n(), F.lit("</div></div></div>")))
     html = F.concat(F.lit("<div class=\"paperlist-object\"><a class=\"article-title\" href=\"/x\">On "), F.col("c_name"), F.lit("</a><div class=\"authors\">Ann X, and Bob Y</div><div class=\"citation\">J, 1, 2, <a href=\"https://doi.org/10.5/"), _n(), F.lit("\">https</a>, "), _year(), F.lit("</div>"), body, F.lit("</div>"))
     return _landed(spark, sf_dir, "egu", html).select("doi", "title", "authors", "year", "abstract")
 

@@ -1,7 +1,8 @@
 """Papers from pages and records that crawlers landed: a parser for each source, made of column expressions.
 
 Fetching, with its delays and retries, happens outside the engine. A parser takes a table with a column `html` (page, XML or
-JSON text, one paper or entry a row) and adds the source's columns; its other columns stay. Nothing is shuffled.
+JSON text, one paper or entry a row) and adds the source's columns; its other columns stay. Pages' elements are found by
+selectors over their tree, records' and links by pattern. Nothing is shuffled.
 
 Defined results: a null or empty page gives empty strings, null years and empty arrays; parsers that leave out papers
 without an abstract leave it out. Where something occurs more than once, the first counts.
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.authors import year_in
 from ..functions.text import _col
 from .pages import plain_text
+from .selectors import selected
 
 RECORD = "doi string, title string, authors array<struct<name:string>>, year int, abstract string, numCitedBy double, numCiting double"
 
@@ -52,11 +54,12 @@ def people(surname: str = "surname", given: str = "given-names", person: str = r
 
 def hal(df: DataFrame) -> DataFrame:
     """An archive's result pages; papers in press count as of 2022."""
-    cited = first(within("div", "citation-ref"))
-    return df.withColumns({
-        "doi": _doi(r"""href=["']https?://(?:dx\.)?doi\.org/([^"']+)["']"""), "title": first(within("h3", "title")), "authors": F.array_join(every(within("span", "author")), ", "), "abstract": first(within("div", "abstract-content")),
-        "year": F.when(F.lower(cited).contains("in press"), F.lit(2022)).otherwise(year_in(cited)), "keywords": F.array_join(every(r"<span[^>]*>(.*?)</span>", F.regexp_extract("html", f"(?is){within('div', 'keywords')}", 1)), ", "), "journal": first(r"citation-ref[^>]*>.*?<i>(.*?)</i>"),
-    })
+    at = selected("html", every={"authors": "span.author", "keywords": "div.keywords span"}, first={"title": "h3.title", "abstract": "div.abstract-content", "cited": "div.citation-ref", "journal": "div.citation-ref i"})
+    cited = F.col("_at.cited")
+    return df.withColumn("_at", at).withColumns({
+        "doi": _doi(r"""href=["']https?://(?:dx\.)?doi\.org/([^"']+)["']"""), "title": F.col("_at.title"), "authors": F.array_join("_at.authors", ", "), "abstract": F.col("_at.abstract"),
+        "year": F.when(F.lower(cited).contains("in press"), F.lit(2022)).otherwise(year_in(cited)), "keywords": F.array_join("_at.keywords", ", "), "journal": F.col("_at.journal"),
+    }).drop("_at")
 
 
 def biorxiv(df: DataFrame) -> DataFrame:
@@ -89,11 +92,13 @@ def without_last(paragraphs: Column | str, last: int = 5) -> Column:
 
 
 def ssrn(df: DataFrame) -> DataFrame:
-    """Pages of a working-paper network."""
-    return df.withColumns({
-        "abstract_id": _doi(r"""name=["']abstract_id["']\s+value=["'](\d+)"""), "title": first(r"<h1\b[^>]*>(.*?)</h1>"), "authors": F.array_join(every(r"<h2[^>]*>\s*(<a\b[^>]*>.*?</a>)\s*</h2>"), ", "), "year": year_in(first(r"Posted:(.*?)</span>")),
-        "field": first(within("div", "group-field")), "pages": F.regexp_extract(F.coalesce("html", F.lit("")), r"(\d+) Pages", 1).try_cast("long"), "abstract_text": first(r"""class=["']abstract-text["'][^>]*>(?:\s*<h3>.*?</h3>)?(.*?)</div>"""), "keywords": first(r"Keywords:\s*</strong>(.*?)</p>"),
-    })
+    """Pages of a working-paper network. The abstract's own heading isn't part of it."""
+    at = selected("html", every={"authors": "h2 > a"}, first={"title": "h1", "field": "div.group-field", "heading": "div.abstract-text > h3", "text": "div.abstract-text"})
+    text, heading = F.col("_at.text"), F.col("_at.heading")
+    return df.withColumn("_at", at).withColumns({
+        "abstract_id": _doi(r"""name=["']abstract_id["']\s+value=["'](\d+)"""), "title": F.col("_at.title"), "authors": F.array_join("_at.authors", ", "), "year": year_in(first(r"Posted:(.*?)</span>")), "field": F.col("_at.field"),
+        "pages": F.regexp_extract(F.coalesce("html", F.lit("")), r"(\d+) Pages", 1).try_cast("long"), "abstract_text": F.when(F.startswith(text, heading), F.trim(F.substring(text, F.length(heading) + 1, F.length(text)))).otherwise(text), "keywords": first(r"Keywords:\s*</strong>(.*?)</p>"),
+    }).drop("_at")
 
 
 def distinct_entries(df: DataFrame, order: Column) -> DataFrame:
@@ -105,16 +110,16 @@ def distinct_entries(df: DataFrame, order: Column) -> DataFrame:
 
 def egu(df: DataFrame) -> DataFrame:
     """Entries of a publisher's lists; the abstract is empty if the list has none."""
-    cited = F.regexp_extract(F.coalesce("html", F.lit("")), f"(?is){within('div', 'citation')}", 1)
-    return df.withColumns({
-        "doi": F.regexp_extract(cited, r"""href=["'](https://doi\.org/[^"']+)""", 1), "title": first(within("a", "article-title")), "authors": first(within("div", "authors")),
-        "year": F.regexp_extract(plain_text(cited), r"((?:19|20)\d\d)\W*$", 1).try_cast("int"), "abstract": first(within("div", "short_summary")),
-    })
+    at = selected("html", every={"links": "div.citation a@href"}, first={"title": "a.article-title", "authors": "div.authors", "cited": "div.citation", "abstract": "div.short_summary"})
+    link = F.get(F.filter("_at.links", lambda x: x.startswith("https://doi.org/")), F.lit(0))
+    return df.withColumn("_at", at).withColumns({
+        "doi": F.coalesce(link, F.lit("")), "title": F.col("_at.title"), "authors": F.col("_at.authors"), "year": F.regexp_extract("_at.cited", r"((?:19|20)\d\d)\W*$", 1).try_cast("int"), "abstract": F.col("_at.abstract"),
+    }).drop("_at")
 
 
 def with_page_abstracts(entries: DataFrame, pages: DataFrame, key: str = "doi") -> DataFrame:
     """Entries without an abstract get that of their article's page; pages: (key, html)."""
-    found = pages.select(F.col(key).alias("_key"), first(within("div", "abstract")).alias("_abstract"))
+    found = pages.select(F.col(key).alias("_key"), selected("html", first={"abstract": "div.abstract"})["abstract"].alias("_abstract"))
     return entries.join(found, F.col(key) == F.col("_key"), "left").withColumn("abstract", F.when(F.col("abstract") == "", F.coalesce("_abstract", F.lit(""))).otherwise(F.col("abstract"))).drop("_key", "_abstract")
 
 
@@ -127,17 +132,18 @@ def iahr(df: DataFrame) -> DataFrame:
 
 def iwa(df: DataFrame) -> DataFrame:
     """Article pages of a publisher; unknown citation counts are a half."""
-    return df.withColumns({
-        "doi": _doi(r"""href=["']https?://doi\.org/([^"']+)["']"""), "title": first(within("h1", "wi-article-title")), "authors": F.array_join(every(within("a", "linked-name")), ", "), "year": year_in(first(within("span", "article-date"))),
-        "abstract": first(within("section", "abstract")), "cited": F.coalesce(F.regexp_extract(first(within("div", "article-cited-by")), r"(\d+)", 1).try_cast("double"), F.lit(0.5)),
-    })
+    at = selected("html", every={"authors": "a.linked-name"}, first={"title": "h1.wi-article-title", "date": "span.article-date", "abstract": "section.abstract", "cited": "div.article-cited-by"})
+    return df.withColumn("_at", at).withColumns({
+        "doi": _doi(r"""href=["']https?://doi\.org/([^"']+)["']"""), "title": F.col("_at.title"), "authors": F.array_join("_at.authors", ", "), "year": year_in(F.col("_at.date")), "abstract": F.col("_at.abstract"),
+        "cited": F.coalesce(F.regexp_extract("_at.cited", r"(\d+)", 1).try_cast("double"), F.lit(0.5)),
+    }).drop("_at")
 
 
 def scholar(df: DataFrame) -> DataFrame:
     """A profile's rows: the first grey line has the authors, the next the journal."""
-    grey = every(within("div", "gs_gray"))
-    at = lambda k: F.coalesce(F.get(grey, F.lit(k)), F.lit(""))
-    return df.withColumns({"title": first(within("a", "gsc_a_at")), "authors": at(0), "journal": at(1), "year": year_in(first(within("td", "gsc_a_y")))})
+    at = selected("html", every={"grey": "div.gs_gray"}, first={"title": "a.gsc_a_at", "year": "td.gsc_a_y"})
+    grey = lambda k: F.coalesce(F.get("_at.grey", F.lit(k)), F.lit(""))
+    return df.withColumn("_at", at).withColumns({"title": F.col("_at.title"), "authors": grey(0), "journal": grey(1), "year": year_in(F.col("_at.year"))}).drop("_at")
 
 
 def issn(df: DataFrame) -> DataFrame:
@@ -150,7 +156,8 @@ def issn(df: DataFrame) -> DataFrame:
 
 def doaj(df: DataFrame) -> DataFrame:
     """Journal cards of a directory: name, ISSN and subjects."""
-    return df.withColumns({"journal": first(within("h3", "search-results__heading")), "issn": F.regexp_extract(F.coalesce("html", F.lit("")), r"(\d{4}-\d{3}[\dXx])", 1), "fields": every(r"<li>\s*<a\b[^>]*>(.*?)</a>", F.regexp_extract("html", r"(?is)<ul class=\"inlined-list\">(.*?)</ul>", 1))})
+    at = selected("html", every={"fields": "ul.inlined-list > li > a"}, first={"journal": "h3.search-results__heading"})
+    return df.withColumn("_at", at).withColumns({"journal": F.col("_at.journal"), "issn": F.regexp_extract(F.coalesce("html", F.lit("")), r"(\d{4}-\d{3}[\dXx])", 1), "fields": F.col("_at.fields")}).drop("_at")
 
 
 def articles_of(journals: DataFrame, articles: DataFrame) -> DataFrame:

@@ -129,22 +129,33 @@ def is_structured(headers: Column | str) -> Column:
     return ~F.exists(X._col(headers), lambda h: F.lower(h).rlike("text|review|question|meaning|finding"))
 
 
-def grobid(pdfs: DataFrame, client, path: str = "path", content: str = "content") -> DataFrame:
-    """(path, tei) from PDF bytes. client: an object with process(bytes) -> str, made once a task; null if it fails."""
+def grobid(pdfs: DataFrame, client, path: str = "path", content: str = "content", at_once: int = 10) -> DataFrame:
+    """(path, status, tei, error) from PDF bytes, at_once requests of a task on their way at a time.
+
+    client: an object, or a class that is made once a task, with ask(bytes) -> (status, tei) or process(bytes) -> tei. A null
+    document is asked as no bytes. What fails has no tei: its status is the service's, or 0 with the error's name, so that
+    those rows can be found and asked again.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
     import pandas as pd
 
     def run(batches):
         made = client() if isinstance(client, type) else client
-        for b in batches:
-            out = []
-            for c in b[content]:
-                try:
-                    out.append(made.process(c))
-                except Exception:  # one unreadable file must not end the job
-                    out.append(None)
-            yield pd.DataFrame({"path": b[path], "tei": out})
 
-    return pdfs.select(path, content).mapInPandas(run, "path string, tei string")
+        def one(pdf) -> tuple[int, str | None, str | None]:
+            try:
+                status, tei = made.ask(pdf or b"") if hasattr(made, "ask") else (200, made.process(pdf or b""))
+            except Exception as e:  # one unreadable file must not end the job: its row says so
+                return 0, None, type(e).__name__
+            return status, tei, None
+
+        with ThreadPoolExecutor(at_once) as pool:
+            for b in batches:
+                out = list(pool.map(one, b[content]))
+                yield pd.DataFrame({"path": b[path], **{c: [r[k] for r in out] for k, c in enumerate(("status", "tei", "error"))}})
+
+    return pdfs.select(path, content).mapInPandas(run, "path string, status int, tei string, error string")
 
 
 def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
@@ -155,7 +166,7 @@ def pdf_articles(pages: DataFrame, file: str = "file", page: str = "page", text:
     """(file, first, last): articles of a file of many start at pages with an abstract; pages: one row a page."""
     from pyspark.sql import Window as W
 
-    starts = pages.filter(F.lower(text).rlike(r"a\s*b\s*s\s*t\s*r\s*a\s*c\t?")).filter(X.word_count(text) > least_words)
+    starts = pages.filter(F.lower(text).rlike(r"a\s*b\s*s\s*t\s*r\s*a\s*c\s*t")).filter(X.word_count(text) > least_words)
     last = pages.groupBy(file).agg(F.max(page).alias("_last"))
     nxt = F.lead(page).over(W.partitionBy(file).orderBy(page))
     return starts.withColumn("_next", nxt).join(last, file).select(file, F.col(page).alias("first"), F.coalesce(F.col("_next") - 1, "_last").alias("last"))
