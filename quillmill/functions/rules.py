@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from .text import _col, word_count, words
 
-#: What a sentence of purpose has: a noun of purpose, a statement of what the authors do, or a question that is put.
+#: What a sentence of purpose has: a noun of purpose, the work itself, a statement of what the authors do, or a question that is put.
 PURPOSE_NOUNS = ("aim", "goal", "objective", "purpose", "target", "motivation")
 PURPOSE_VERBS = ("aim", "ask", "assess", "attempt", "compare", "examine", "introduce", "investigate", "present", "propose", "report", "seek", "study", "test")
-OBJECTIVE_CUES = rf"(?i)\b({'|'.join(PURPOSE_NOUNS)})s?\b|\b(we|the authors) (here |now |therefore )?({'|'.join(PURPOSE_VERBS)})(e?d)?\b|\b(in|of) (this|our) (article|paper|study|thesis|work)\b|\bto (determine|find out|learn|see) (how|if|what|whether|why)\b"
+OBJECTIVE_CUES = rf"(?i)\b({'|'.join(PURPOSE_NOUNS)})s?\b|\b(we|the authors) (here |now |therefore )?({'|'.join(PURPOSE_VERBS)})(e?d)?\b|\bthis (article|paper|study|thesis|work)\b|\bto (determine|find out|learn|see) (how|if|what|whether|why)\b"
 #: Boilerplate, and cues of the other sections.
 BOILERPLATE = "this section|Corresponding| PhD "
 METHOD_CUES = r"(?i)\b(method|methods|model|dataset|data|using|used|approach|algorithm|simulation|experiment|experiments|measured|sampled)\b"

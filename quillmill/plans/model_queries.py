@@ -168,11 +168,13 @@ def full_stop_scores(spark, sf_dir):
 
 # -- titles ------------------------------------------------------------------------------------------------------------
 
+#: The engine that answers the SQL measures the distance of letters in bytes.
+_ASCII = r"regexp_replace(string_split(text, chr(10))[1], '[^\x00-\x7F]', 'x', 'g')"
 _PLAIN = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 
 
-@query(rf"""WITH b AS (SELECT min('10.0000/doc.' || doc_id) AS doi, {_PLAIN.format("string_split(text, chr(10))[1]")} AS p FROM documents WHERE doc_id % 2 = 0 GROUP BY 2),
-e AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN regexp_replace(t, '^(\S+)\s+\S+', '\1') WHEN 1 THEN replace(t, 'e', 'ee') ELSE '«' || t || '  .' END AS t FROM (SELECT doc_id, string_split(text, chr(10))[1] AS t FROM documents)),
+@query(rf"""WITH b AS (SELECT min('10.0000/doc.' || doc_id) AS doi, {_PLAIN.format(_ASCII)} AS p FROM documents WHERE doc_id % 2 = 0 GROUP BY 2),
+e AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN regexp_replace(t, '^(\S+)\s+\S+', '\1') WHEN 1 THEN replace(t, 'e', 'ee') ELSE '* ' || t || '  .' END AS t FROM (SELECT doc_id, {_ASCII} AS t FROM documents)),
 m AS (SELECT doc_id, {_PLAIN.format("t")} AS p FROM e),
 x AS (SELECT p, list_distinct(string_split(p, ' ')) AS w, length(p) AS n FROM (SELECT p FROM b UNION SELECT p FROM m) WHERE p <> ''),
 j AS (SELECT l.p AS l, r.p AS r, greatest(l.n, r.n) AS longer, len(list_intersect(l.w, r.w)) / (len(l.w) + len(r.w) - len(list_intersect(l.w, r.w))) AS jaccard
@@ -183,9 +185,9 @@ f AS (SELECT l, doi, round(jaccard, 6) AS similarity, row_number() OVER (PARTITI
 SELECT doc_id, doi, similarity FROM m LEFT JOIN f ON f.l = m.p AND f.at = 1""")
 def title_links(spark, sf_dir):
     """Papers whose titles were edited (a word less, letters doubled, signs), found in a catalogue of half of them."""
-    p = papers(spark, sf_dir).select("doc_id", "doi", F.col("Title").alias("title"))
+    p = papers(spark, sf_dir).select("doc_id", "doi", F.regexp_replace("Title", r"[^\x00-\x7F]", "x").alias("title"))
     t, n = F.col("title"), F.col("doc_id") % 3
-    edited = F.when(n == 0, F.regexp_replace(t, r"^(\S+)\s+\S+", "$1")).when(n == 1, F.replace(t, F.lit("e"), F.lit("ee"))).otherwise(F.concat(F.lit("«"), t, F.lit("  .")))
+    edited = F.when(n == 0, F.regexp_replace(t, r"^(\S+)\s+\S+", "$1")).when(n == 1, F.replace(t, F.lit("e"), F.lit("ee"))).otherwise(F.concat(F.lit("* "), t, F.lit("  .")))
     found = titles.link_by_title(p.select("doc_id", edited.alias("title")), p.filter("doc_id % 2 = 0"))
     return found.select("doc_id", "doi", "similarity")
 
