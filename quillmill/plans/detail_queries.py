@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import authors as A
+from ..functions import clauses as C
 from ..functions import rules as R
 from ..functions import text as X
 from ..operators.tables import pinned, spread
@@ -83,3 +84,63 @@ def reported_sections(spark, sf_dir):
     of = lambda name: F.transform(F.filter("segments", lambda s: s["label"] == name), lambda s: s["message"])
     made = pinned(made, **{c: of(c) for c in ("objectives", "methods", "results")})
     return made.select("doc_id", F.coalesce(*(R.chosen(c) for c in ("objectives", "methods", "results"))).alias("s"))
+
+
+# -- clauses and reported speech -------------------------------------------------------------------------------------------
+
+_FIRST = f"WITH {PAPERS}, {SENTENCES}, s AS (SELECT doc_id, good[1] AS s FROM full_sents WHERE len(good) > 0)"
+
+
+def _first_sentences(spark, sf_dir):
+    p = pinned(papers(spark, sf_dir).select("doc_id", "Abstract"), good=X.full_sentences("Abstract"))
+    return p.filter(F.size("good") > 0).select("doc_id", F.col("good")[0].alias("s"))
+
+
+@query(rf"""{_FIRST}, m AS (SELECT doc_id, list_prepend('', string_split(regexp_replace(s, '(?i)\s+({"|".join(C.SEPARATORS)})\s+|\s*(,)\s*', chr(1) || '\1\2' || chr(1), 'g'), chr(1))) AS p FROM s),
+c AS (SELECT doc_id, list_filter(list_transform(range(0, len(p) // 2), lambda i: {{'a': p[2 * i + 1], 't': trim(p[2 * i + 2])}}), lambda x: x.t <> '' OR x.a = '') AS c FROM m)
+SELECT doc_id, CAST(len(c) AS INTEGER) AS n, md5(array_to_string(list_transform(c, lambda x: x.a || ':' || x.t), '|')) AS clauses_md5 FROM c""")
+def sentence_clauses(spark, sf_dir):
+    """The clauses of each paper's first full sentence."""
+    s = pinned(_first_sentences(spark, sf_dir), c=C.clauses("s"))
+    return s.select("doc_id", F.size("c").alias("n"), F.md5(F.array_join(F.transform("c", lambda x: F.concat_ws(":", x["separator"], x["text"])), "|")).alias("clauses_md5"))
+
+
+@query(rf"""{_FIRST}, w AS (SELECT doc_id, string_split(regexp_replace(s, '[^\x00-\x7F]', 'x', 'g'), ' ') AS w FROM s), p AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'The ' || w[1] || ' was measured by ' || array_to_string(w[2:4], ' ') || '.' WHEN 1 THEN w[1] || ' of ' || coalesce(w[2], '') || ' have been shown by ' || coalesce(w[3], '') ELSE array_to_string(w, ' ') END AS s FROM w),
+x AS (SELECT doc_id, s, regexp_extract(s, '{C.PASSIVE}', 1) AS what, regexp_extract(s, '{C.PASSIVE}', 2) AS verb, regexp_extract(s, '{C.PASSIVE}', 3) AS who, regexp_extract(s, '{C.PASSIVE}', 4) AS stop FROM p)
+SELECT doc_id, md5(CASE WHEN what <> '' THEN upper(who[1]) || substr(who, 2) || ' ' || verb || ' ' || lower(what[1]) || substr(what, 2) || stop ELSE s END) AS active_md5, what <> '' AS passive FROM x""")
+def active_sentences(spark, sf_dir):
+    """Passive sentences about the words of the papers, made active; a third of them stay as they are."""
+    # Engines differ in the capitals of some letters, so only plain ones are kept here.
+    w = pinned(_first_sentences(spark, sf_dir), w=F.split(F.regexp_replace("s", r"[^\x00-\x7F]", "x"), " "))
+    at, n = (lambda k: F.coalesce(F.get("w", F.lit(k)), F.lit(""))), F.col("doc_id") % 3
+    made = F.when(n == 0, F.concat(F.lit("The "), at(0), F.lit(" was measured by "), F.array_join(F.slice("w", 2, 3), " "), F.lit("."))).when(n == 1, F.concat(at(0), F.lit(" of "), at(1), F.lit(" have been shown by "), at(2))).otherwise(F.array_join("w", " "))
+    p = pinned(w.select("doc_id", made.alias("_s")), s=F.col("_s"))
+    return p.select("doc_id", F.md5(C.active("s")).alias("active_md5"), (F.regexp_extract("s", C.PASSIVE, 1) != "").alias("passive"))
+
+
+def _corrected(x: str) -> str:
+    for old, new in R.CORRECTIONS.items():
+        x = f"replace({x}, '{old.replace(chr(39), chr(39) * 2)}', '{new.replace(chr(39), chr(39) * 2)}')"
+    return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
+
+
+def _simplified(x: str) -> str:
+    x = rf"regexp_replace({x}, '(?i)^(however|therefore|moreover|furthermore|here|hence|thus|to this end),?\s+', '')"
+    x = rf"regexp_replace({x}, '(?i)\bas well as\b|\balong with\b', 'and', 'g')"
+    for _ in range(6):  # what follows a clause is part of the match here, so neighbours need another pass
+        x = rf"regexp_replace({x}, ',\s*(?:which|through)\b[^,.]*([,.])', '\1', 'g')"
+    return rf"trim(regexp_replace({x}, '\s*\((i|ii|iii|iv|[0-9])\)', '', 'g'))"
+
+
+_PAST = f"CASE {' '.join(f'''WHEN verb = '{k}' THEN '{v}' ''' for k, v in R.IRREGULAR.items())} WHEN ends_with(verb, 'e') THEN verb || 'd' WHEN regexp_matches(verb, '[^aeiou]y$') THEN regexp_replace(verb, 'y$', '') || 'ied' ELSE verb || 'ed' END"
+
+
+@query(f"""{_FIRST}, f AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'We propose ' || s WHEN 1 THEN 'However, this study aims to show ' || s WHEN 2 THEN 'In this paper, we study ' || s || ', which is so, as well as (i) more.' ELSE s END AS s, 'A' || doc_id || ' (2020)' AS who FROM s),
+m AS (SELECT doc_id, who, {_simplified("s")} AS s FROM f), v AS (SELECT *, lower(regexp_extract(s, '{R.REPORT}', 1)) AS verb, regexp_extract(s, '{R.REPORT}', 2) AS rest FROM m)
+SELECT doc_id, {_corrected(f"CASE WHEN verb <> '' THEN who || ' ' || {_PAST} || ' ' || rest ELSE who || ': ' || s END")} AS reported FROM v""")
+def reported_speech(spark, sf_dir):
+    """Statements made of the papers' sentences, as reported speech: fillers and clauses dropped, verbs in the past, corrected."""
+    s, n = F.col("s"), F.col("doc_id") % 4
+    made = F.when(n == 0, F.concat(F.lit("We propose "), s)).when(n == 1, F.concat(F.lit("However, this study aims to show "), s)).when(n == 2, F.concat(F.lit("In this paper, we study "), s, F.lit(", which is so, as well as (i) more."))).otherwise(s)
+    p = pinned(_first_sentences(spark, sf_dir).select("doc_id", made.alias("_s")), s=F.col("_s"))
+    return p.select("doc_id", R.reported("s", F.concat(F.lit("A"), F.col("doc_id").cast("string"), F.lit(" (2020)"))).alias("reported"))
