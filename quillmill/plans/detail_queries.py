@@ -10,7 +10,7 @@ from ..functions import rules as R
 from ..functions import text as X
 from ..operators.tables import pinned, spread
 from . import produce as M
-from .queries import LABELLED, PAPERS, SENTENCES, papers, query, table
+from .queries import FORMULA, LABELLED, PAPERS, SENTENCES, SQL, _n_words, papers, query, table
 
 _NAMES = r"""names AS (SELECT c_custkey, substr(c_name, 1, CAST(c_custkey % 12 AS INTEGER)) || chr(10) || c_mktsegment || '.x & ' || c_nationkey AS raw FROM customer),
 clean AS (SELECT *, trim(regexp_replace(regexp_replace(replace(replace(replace(raw, chr(10), '; '), '&', ','), '.', '. '), '[^a-zA-Z+.,\-;]', ' ', 'g'), '\s+', ' ', 'g')) AS c FROM names),
@@ -144,3 +144,13 @@ def reported_speech(spark, sf_dir):
     made = F.when(n == 0, F.concat(F.lit("We propose "), s)).when(n == 1, F.concat(F.lit("However, this study aims to show "), s)).when(n == 2, F.concat(F.lit("In this paper, we study "), s, F.lit(", which is so, as well as (i) more."))).otherwise(s)
     p = pinned(_first_sentences(spark, sf_dir).select("doc_id", made.alias("_s")), s=F.col("_s"))
     return p.select("doc_id", R.reported("s", F.concat(F.lit("A"), F.col("doc_id").cast("string"), F.lit(" (2020)"))).alias("reported"))
+
+
+#: reported_sentences, registered with the production plan: summary, labels, choice and reported speech of every paper.
+SQL["reported_sentences"] = rf"""WITH {PAPERS}, {SENTENCES}, kept_sents AS (SELECT * REPLACE (CASE WHEN len(o) > 3 THEN o ELSE good END AS good) FROM (SELECT *, list_filter(good, lambda s: regexp_matches(s, '{R.OBJECTIVE_CUES}') AND NOT regexp_matches(s, '{R.BOILERPLATE}')) AS o FROM full_sents)),
+{LABELLED.replace("FROM full_sents", "FROM kept_sents")},
+r AS (SELECT doc_id, s, CASE WHEN label = 'background' THEN 'objectives' ELSE label END AS label, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN label = 'background' THEN 0 ELSE 1 END, i) AS i FROM labelled WHERE label <> 'background' OR o > 0),
+k AS (SELECT doc_id, label, list({{'n': {_n_words("s")}, 'i': i, 's': s}} ORDER BY i) AS a FROM r GROUP BY 1, 2), c AS (SELECT doc_id, label, {_PICK.format(a="a")} AS s FROM k),
+b AS (SELECT doc_id, coalesce(max(s) FILTER (WHERE label = 'objectives'), max(s) FILTER (WHERE label = 'methods'), max(s) FILTER (WHERE label = 'results')) AS s FROM c GROUP BY 1),
+m AS (SELECT doc_id, doi, {FORMULA} AS who, {_simplified("b.s")} AS s FROM b JOIN papers USING (doc_id)), v AS (SELECT *, lower(regexp_extract(s, '{R.REPORT}', 1)) AS verb, regexp_extract(s, '{R.REPORT}', 2) AS rest FROM m)
+SELECT doi AS paper_name, {_corrected(f"CASE WHEN verb <> '' THEN who || ' ' || {_PAST} || ' ' || rest ELSE who || ': ' || s END")} AS reported, who AS authors, '{A.DOI_URL}' || doi AS website FROM v"""

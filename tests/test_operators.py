@@ -74,7 +74,8 @@ def test_grobid_client_failures_are_null(spark):
             return "<TEI/>"
 
     pdfs = spark.createDataFrame([("a", b"ok"), ("b", b"bad")], "path string, content binary")
-    assert {r.path: r.tei for r in D.grobid(pdfs, Client).collect()} == {"a": "<TEI/>", "b": None}
+    got = {r.path: r for r in D.grobid(pdfs, Client).collect()}
+    assert {k: r.tei for k, r in got.items()} == {"a": "<TEI/>", "b": None} and got["a"].status == 200 and got["b"].status == 0 and got["b"].error
 
 
 def test_zone(spark, tmp_path):
