@@ -1,7 +1,8 @@
 """A trained tagger of words: an averaged perceptron, fitted by iterative parameter mixing.
 
 Rows are dealt to `shards` by the hash of their key and sorted there. In a round each shard is read once, from the weights that
-all shards agreed on: words are tagged from left to right, and where the tag is wrong the features' weights move. A round's
+all shards agreed on: words are tagged from left to right, and where the tag is wrong the features' weights move, after each
+STEP words, so that a step's scores are looked up at once. A round's
 results are summed by feature over the shards and divided by their number. The model has the mean of the weights that were in
 use, over all words, shards and rounds; it is measured on rows that aren't trained on after each round, and training stops
 when it hasn't become better for `patience` rounds.
@@ -18,6 +19,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,10 @@ from .training import TAGS, split
 
 BITS, UNIT = 16, 1 << 16
 SHARDS, ROUNDS, PATIENCE = 8, 8, 2
+#: Words that are tagged at once, and after which weights move when learning.
+BLOCK, STEP = 1024, 48
+#: With more rows than so many a shard there are more shards, up to a bound, so that a round grows with the cores' number.
+ROWS, MOST_SHARDS = 2_000, 256
 
 
 def word_features(words: list[str]) -> list[list[str]]:
@@ -49,6 +56,13 @@ def hashed(name: str, bits: int) -> int:
     return zlib.crc32(name.encode()) & ((1 << bits) - 1)
 
 
+@lru_cache(maxsize=8)
+def _tables(bits: int) -> list:
+    """The places of word_features' features of few values."""
+    ranges = {"place": range(12), "sent": range(13), "share": range(12), "start": (False, True), "left": range(9)}
+    return [hashed("1", bits), *(np.array([hashed(f"{k}={x}", bits) for x in r], np.int64) for k, r in ranges.items())]
+
+
 class Perceptron:
     """Weights by hashed feature and tag, and how to tag with them. It can be pickled and sent to tasks."""
 
@@ -57,32 +71,53 @@ class Perceptron:
         self.bits = int(len(weights)).bit_length() - 1
         self._known: dict[str, int] = {}
 
-    def numbers(self, words: list[str]) -> list[list[int]]:
-        held = self._known
-        if len(held) > 500_000:
-            held.clear()
-        out = []
-        for fs in word_features(words):
-            own = []
-            for f in fs:
-                x = held.get(f)
-                if x is None:
-                    x = held[f] = hashed(f, self.bits)
-                own.append(x)
-            out.append(own)
-        return out
-
-    def after(self, tag: int, fs: list[int]) -> list[int]:
-        """The features of the tag before, alone and with the word and the sentence's start."""
+    def _word(self, word: str) -> tuple:
+        """The numbers of a word as itself, its ends, the one before and the one after; the start of its pairs; its bytes."""
+        own = self._known.get(word)
+        if own is None:
+            if len(self._known) > 500_000:
+                self._known.clear()
+            w = word.lower()
+            own = self._known[word] = (*(hashed(f, self.bits) for f in (f"w={w}", f"p={w[:4]}", f"s={w[-3:]}", f"b={w}", f"a={w}")), zlib.crc32(f"bw={w} ".encode()), w.encode())
+        return own
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """word_features of each word as places, a row a word."""
+        n, size = len(words), (1 << self.bits) - 1
+        if not n:
+            return np.zeros((0, 12), np.int64)
+        first, *kinds = _tables(self.bits)
+        own = [self._word(w) for w in words]
+        plain = np.array([x[:5] for x in own], np.int64)
+        before = np.concatenate([[hashed("b=", self.bits)], plain[:-1, 3]])
+        after = np.concatenate([plain[1:, 4], [hashed("a=", self.bits)]])
+        pairs = np.array([zlib.crc32(x[6], start) & size for x, start in zip(own, [zlib.crc32(b"bw= "), *(x[5] for x in own[:-1])], strict=True)], np.int64)
+        ends = np.array([w.endswith((".", "!", "?")) for w in words])
+        start = np.concatenate([[True], ends[:-1]])
+        sentence, total = np.cumsum(ends) - ends, max(1, int(ends.sum()))
+        small = (np.arange(n) * 12 // n, np.minimum(sentence, 12), np.minimum(11, sentence * 12 // total), start.astype(np.int64), np.minimum(8, total - sentence))
+        return np.stack([np.full(n, first), *plain[:, :3].T, before, after, pairs, *(t[x] for t, x in zip(kinds, small, strict=True))], axis=1)
+
+    def after(self, tag: np.ndarray, fs: np.ndarray) -> np.ndarray:
+        """The features of the tag before, alone and with the word and the sentence's start, a row a word."""
         size = (1 << self.bits) - 1
         t = (tag + 1) * 0x9E3779B1
-        return [t & size, (t ^ fs[1] * 31) & size, (t ^ fs[10] * 131) & size]
+        return np.stack([t & size, (t ^ fs[:, 1] * 31) & size, (t ^ fs[:, 10] * 131) & size], axis=1)
+
+    def best(self, weights: np.ndarray, fs: np.ndarray) -> list[list[int]]:
+        """The best tag of each word after each tag, no tag first."""
+        size, starts = (1 << self.bits) - 1, _tables(self.bits)[4]
+        t = np.arange(len(self.tags) + 1) * 0x9E3779B1
+        begun = weights[t & size] + weights[(t ^ starts[:, None] * 131) & size]  # for each value of a sentence's start
+        linked = weights[(t ^ fs[:, 1, None] * 31) & size] + begun[(fs[:, 10] == starts[1]).astype(np.int64)]
+        return (weights[fs].sum(1)[:, None, :] + linked).argmax(2).tolist()
 
     def tag(self, words: list[str]) -> list[int]:
-        before, out = -1, []
-        for fs in self.numbers(words):
-            before = int(self.weights[fs + self.after(before, fs)].sum(0).argmax())
-            out.append(before)
+        fs, before, out = self.numbers(words), 0, []
+        for k in range(0, len(words), BLOCK):
+            for row in self.best(self.weights, fs[k : k + BLOCK]):
+                out.append(row[before])
+                before = row[before] + 1
         return out
 
     def __call__(self, texts: list[str]) -> list[list[str]]:
@@ -101,23 +136,27 @@ def usable(rows: DataFrame, key: str, text: str, entities: str) -> DataFrame:
 
 
 def _learn(model: Perceptron, rows: Iterator[tuple[list[str], list[int]]]) -> tuple[np.ndarray, np.ndarray]:
-    """One pass over a shard: the weights at its end, and their mean over its words."""
+    """One pass over a shard: the weights at its end, and their mean over its words. Weights move after each STEP words."""
     w = model.weights.copy()
     late = np.zeros_like(w)  # the moves, each times the words before it
-    seen = 0
+    n_tags, seen = w.shape[1], 0
     for words, gold in rows:
-        before = -1
-        for fs, y in zip(model.numbers(words), gold, strict=True):
-            at = fs + model.after(before, fs)
-            found = int(w[at].sum(0).argmax())
-            if found != y:
-                for a in at:
-                    w[a, y] += UNIT
-                    w[a, found] -= UNIT
-                    late[a, y] += UNIT * seen
-                    late[a, found] -= UNIT * seen
-            seen += 1
-            before = y if seen % 2 else found  # half of the words see the true tag before them, half the one found
+        before, fs = 0, model.numbers(words)
+        for k in range(0, len(words), STEP):
+            own, wrong = fs[k : k + STEP], []
+            for j, (row, y) in enumerate(zip(model.best(w, own), gold[k : k + STEP], strict=True)):
+                found = row[before]
+                if found != y:
+                    wrong.append((j, before - 1, y, found, seen))
+                seen += 1
+                before = (y if seen % 2 else found) + 1  # half of the words see the true tag before them, half the one found
+            if wrong:
+                j, held, y, found, at = np.array(wrong, np.int64).T
+                places = np.concatenate([own[j], model.after(held, own[j])], axis=1) * n_tags
+                for tags, sign in ((y, UNIT), (found, -UNIT)):
+                    moved = (places + tags[:, None]).ravel()
+                    np.add.at(w.reshape(-1), moved, sign)
+                    np.add.at(late.reshape(-1), moved, np.repeat(sign * at, places.shape[1]))
     return w, w - late // max(1, seen)
 
 
@@ -126,24 +165,14 @@ def mixed(model: Perceptron, shards: DataFrame, n_shards: int) -> tuple[np.ndarr
     n_tags = len(model.tags)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held = None, []
-
-        def done() -> pa.RecordBatch:
-            last, mean = (x - model.weights for x in _learn(model, iter(held)))
+        # A shard is read once, row by row, and never held.
+        rows = (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True))
+        for _, own in groupby(rows, lambda r: r[0]):
+            last, mean = (x - model.weights for x in _learn(model, (r[1:] for r in own)))
             moved = np.flatnonzero((last != 0).any(1) | (mean != 0).any(1))
-            return pa.record_batch([pa.array(moved, pa.int32()), pa.array(list(last[moved]), pa.list_(pa.int64())), pa.array(list(mean[moved]), pa.list_(pa.int64()))], names=["feature", "last", "mean"])
+            yield pa.record_batch([pa.array(moved, pa.int32()), pa.array(list(last[moved]), pa.list_(pa.int64())), pa.array(list(mean[moved]), pa.list_(pa.int64()))], names=["feature", "last", "mean"])
 
-        for b in batches:
-            for s, words, y in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if s != shard and held:
-                    yield done()
-                    held = []
-                shard = s
-                held.append((words, y))
-        if held:
-            yield done()
-
-    parts = shards.repartition(n_shards, "shard").sortWithinPartitions("shard", "key", "words").mapInArrow(run, "feature int, last array<long>, mean array<long>")
+    parts = shards.repartitionById(n_shards, F.col("shard")).sortWithinPartitions("shard", "key", "words").mapInArrow(run, "feature int, last array<long>, mean array<long>")
     sums = parts.groupBy("feature").agg(*(F.sum(F.col(c)[t]).alias(f"{c}{t}") for c in ("last", "mean") for t in range(n_tags)))
     out = [np.zeros_like(model.weights), np.zeros_like(model.weights)]
     for r in sums.collect():  # at most 2 ** BITS rows
@@ -166,13 +195,17 @@ def accuracy(model: Perceptron, rows: DataFrame) -> tuple[int, int]:
     return r[0] or 0, r[1] or 0
 
 
-def train(rows: DataFrame, key: str = "doi", text: str = "text", entities: str = "entities", tags: tuple[str, ...] = TAGS, shards: int = SHARDS, rounds: int = ROUNDS, patience: int = PATIENCE, bits: int = BITS) -> tuple[Perceptron, list[float]]:
-    """The model, and its accuracy on the rows held out (20 of 100, by hash of the key) after each round."""
+def train(rows: DataFrame, key: str = "doi", text: str = "text", entities: str = "entities", tags: tuple[str, ...] = TAGS, shards: int | None = None, rounds: int = ROUNDS, patience: int = PATIENCE, bits: int = BITS) -> tuple[Perceptron, list[float]]:
+    """The model, and its accuracy on the rows held out (20 of 100, by hash of the key) after each round.
+
+    shards: SHARDS by default, and more for more than ROWS rows a shard.
+    """
     number = F.create_map(*(F.lit(x) for k, t in enumerate(tags) for x in (t, k)))
     ready = usable(rows, key, text, entities)
     y = F.transform("tags", lambda t: F.coalesce(F.try_element_at(number, t), F.lit(0)))
-    ready = settle(ready.select(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), "key", "words", y.alias("y")))
-    own, held = split(ready, "key")
+    ready = settle(ready.select("key", "words", y.alias("y")))
+    shards = shards or min(MOST_SHARDS, max(SHARDS, ready.count() // ROWS))
+    own, held = split(ready.select(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), "key", "words", "y"), "key")
     model = Perceptron(np.zeros((1 << bits, len(tags)), np.int64), tags)
     best, found, total, since = model, [], np.zeros_like(model.weights), 0
     for k in range(rounds):
