@@ -7,8 +7,8 @@ Parquet keeps these columns apart, so a search reads the codes of the cells it p
 
 A search takes the cells of greatest inner product with each query, scores their rows by cell and code, keeps `rerank` rows a
 query and orders those by the exact inner product. The index is never shuffled: queries, at most MOST_QUERIES at a time, go to
-the tasks that read the cells, and each task returns no more than `rerank` rows a query. With all cells probed and `rerank`
-at least the number of rows the answer is exact.
+the tasks that read the cells, and each task returns no more than `rerank` rows a query. An exact search reads the vectors of the
+cells it probes; with all cells probed its answer is exact.
 
 Nothing in the driver grows with the vectors: it holds the cells (at most MOST_CELLS) and one block of queries.
 
@@ -142,10 +142,11 @@ class VectorIndex:
         """(key, code, vector, cell) of all rows."""
         return self.spark.read.schema("key long, code binary, vector array<float>, cell int").parquet(f"{self.root}/lists")
 
-    def search(self, queries: DataFrame, k: int, probes: int, rerank: int | None = None, query_key: str = "query_id", vector: str = "vector") -> DataFrame:
+    def search(self, queries: DataFrame, k: int, probes: int, rerank: int | None = None, query_key: str = "query_id", vector: str = "vector", exact: bool = False) -> DataFrame:
         """(query_id, key, score, rank): for each query the k rows of greatest inner product among its `probes` cells.
 
-        rerank: rows of each query that are scored exactly, 4 * k by default.
+        rerank: rows of each query that are scored exactly, 4 * k by default. exact: all rows of those cells are, by their vectors in
+        place of their codes; a task holds k rows a query. With all cells probed that is the exact answer, whatever the rows.
         """
         rerank = max(k, rerank or 4 * k)
         cells, step = self.cells()
@@ -158,7 +159,7 @@ class VectorIndex:
         for block in range(n_blocks):  # of about MOST_QUERIES queries each
             own = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == block).orderBy("query_id").collect()
             if own:
-                found = self._search(np.array([r.query_id for r in own]), np.array([r.q for r in own]), cells, step, k, probes, rerank)
+                found = self._search(np.array([r.query_id for r in own]), np.array([r.q for r in own]), cells, step, k, probes, None if exact else rerank)
                 out = found if out is None else out.unionByName(found)
         return out if out is not None else self.spark.createDataFrame([], schema)
 
@@ -172,7 +173,7 @@ class VectorIndex:
         most MOST_QUERIES queries, which are answered exactly."""
         cells, _ = self.cells()
         asked = queries.filter(F.col(vector).isNotNull()).orderBy(query_key).limit(MOST_QUERIES).select(F.col(query_key).cast("long").alias("query_id"), F.col(vector).alias("vector"))
-        exact = self.search(asked, k, probes=MOST_CELLS, rerank=max(16 * k, 1000)).select("query_id", "key").distinct()
+        exact = self.search(asked, k, probes=MOST_CELLS, exact=True).select("query_id", "key").distinct()
         lie = exact.join(self.lists().select("key", "cell"), "key").select("query_id", "cell").collect()  # k rows a query
         rows = {r.query_id: r.vector for r in asked.collect()}
         if not lie:
@@ -181,11 +182,35 @@ class VectorIndex:
         needed = np.sort([order[r.query_id][r.cell] + 1 for r in lie])
         return int(needed[min(len(needed) - 1, int(np.ceil(least * len(needed))) - 1)])
 
-    def _search(self, ids: np.ndarray, q: np.ndarray, cells: np.ndarray, step: float, k: int, probes: int, rerank: int) -> DataFrame:
+    def _search(self, ids: np.ndarray, q: np.ndarray, cells: np.ndarray, step: float, k: int, probes: int, rerank: int | None) -> DataFrame:
         probed = self.probed(q, probes)
         takers = {int(c): np.flatnonzero((probed == c).any(1)) for c in np.unique(probed)}
         base = q @ cells.T
         lists = self.lists().filter(F.col("cell").isin(list(takers)))
+        rank = F.row_number().over(W.partitionBy("query_id", "place").orderBy(F.col("score").desc(), "key"))
+        if rerank is None:
+            whole = probes >= len(cells)
+
+            def best_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                # Of each query the k best rows so far, all in one: places, scores, and rows as (no null key, key).
+                at, score, some, key = (np.zeros(0, t) for t in (np.int64, np.float64, np.int8, np.int64))
+                least = np.full(len(q), -np.inf)
+                for b in (b.slice(n, 1000) for b in batches for n in range(0, b.num_rows, 1000)):
+                    of, x = b.column(0).to_numpy(), matrix(b.column(2))
+                    keyed, keys = ~np.asarray(b.column(1).is_null()), b.column(1).fill_null(0).to_numpy()
+                    for rows, own in [(np.arange(len(of)), np.arange(len(q)))] if whole else [(np.flatnonzero(of == c), takers[c]) for c in np.unique(of).tolist()]:
+                        scores = np.round(q[own] @ x[rows].T, 6)
+                        i, j = np.nonzero(scores >= least[own][:, None])
+                        at, score, some, key = (np.concatenate(p) for p in ((at, own[i]), (score, scores[i, j]), (some, keyed[rows[j]].astype(np.int8)), (key, keys[rows[j]])))
+                        order = np.lexsort((key, some, -score, at))
+                        place = np.arange(len(order)) - np.searchsorted(at[order], at[order])
+                        at, score, some, key = (v[order[place < k]] for v in (at, score, some, key))
+                        full = place[place < k] == k - 1
+                        least[at[full]] = score[full]
+                yield pa.record_batch([pa.array(ids[at], pa.int64()), pa.array(at, pa.int32()), pa.array(key, pa.int64(), mask=some == 0), pa.array(score)], names=["query_id", "place", "key", "score"])
+
+            found = lists.select("cell", "key", "vector").mapInArrow(best_of, "query_id long, place int, key long, score double")
+            return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "key", "score", "rank")
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best: dict[int, list[tuple]] = {}
@@ -221,7 +246,6 @@ class VectorIndex:
 
         exact = near.join(lists.select("cell", "key", "vector"), (near.key.eqNullSafe(lists.key)) & (near.cell == lists.cell)).select("query_id", "place", near.key, "vector")
         exact = exact.mapInArrow(score, "query_id long, place int, key long, score double")
-        rank = F.row_number().over(W.partitionBy("query_id", "place").orderBy(F.col("score").desc(), "key"))
         return exact.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "key", "score", "rank")
 
     def read_share(self, queries: DataFrame, probes: int, vector: str = "vector") -> float:
