@@ -26,21 +26,30 @@ def clauses(sentence: Column | str) -> Column:
     return F.filter(at, lambda c: (c["text"] != "") | (c["separator"] == ""))
 
 
+def _forms() -> dict[str, str]:
+    """The plain form of each form of the known verbs: of several the last verb's, else that of an irregular one."""
+    known = {f: plain for plain in VERBS for f in (plain, f"{plain}s", f"{plain}es", f"{plain}ed", f"{plain}d", f"{plain}ing", f"{plain[:-1]}ing", f"{plain[:-1]}ies", f"{plain[:-1]}ied")}
+    return {**{form: plain for plain, form in IRREGULAR.items()}, **known}
+
+
+FORMS = _forms()
+
+
+def _letters(word: Column) -> Column:
+    return F.lower(F.regexp_replace(word, r"[^\p{L}]", ""))
+
+
 def stem(word: Column) -> Column:
     """A verb's plain form, for the verbs known here; other words as they are, in small letters."""
-    w = F.lower(F.regexp_replace(word, r"[^\p{L}]", ""))
-    past = F.create_map(*(F.lit(x) for plain, form in IRREGULAR.items() for x in (form, plain)))
-    out = F.coalesce(past[w], w)
-    for plain in VERBS:
-        forms = {plain, f"{plain}s", f"{plain}es", f"{plain}ed", f"{plain}d", f"{plain}ing", f"{plain[:-1]}ing", f"{plain[:-1]}ies", f"{plain[:-1]}ied"}
-        out = F.when(w.isin(*sorted(forms)), plain).otherwise(out)
-    return out
+    w = _letters(word)
+    return F.coalesce(F.create_map(*(F.lit(x) for p in FORMS.items() for x in p))[w], w)
 
 
 def root_verb(sentence: Column | str) -> Column:
     """The first of the known verbs in a sentence, in its plain form; null without one."""
-    found = F.transform(words(sentence), stem)
-    return F.get(F.filter(found, lambda w: w.isin(*VERBS)), F.lit(0))
+    # Words are looked up in a set; the first that is found is stemmed.
+    found = F.filter(F.transform(words(sentence), _letters), lambda w: w.isin(*(f for f, plain in FORMS.items() if plain in VERBS)))
+    return stem(F.get(found, F.lit(0)))
 
 
 def root_clause(sentence: Column | str) -> Column:
