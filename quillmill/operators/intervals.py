@@ -11,9 +11,16 @@ from ..functions.spans import overlap
 
 def islands(df: DataFrame, group: str, number: str) -> DataFrame:
     """(group, start, end, n): runs of consecutive numbers in each group."""
+    # Rows are sorted once and read in order; repeated ones go, ends of runs stay, and nothing is held in a table.
     w = W.partitionBy(group).orderBy(number)
-    run = F.col(number) - F.row_number().over(w)
-    return df.select(group, number).distinct().withColumn("_run", run).groupBy(group, "_run").agg(F.min(number).alias("start"), F.max(number).alias("end"), F.count("*").alias("n")).drop("_run")
+    before, n = F.lag(number).over(w), F.col(number)
+    rows = df.select(group, number, before.alias("_before"), (F.row_number().over(w) == 1).alias("_first")).filter(F.col("_first") | ~n.eqNullSafe(F.col("_before")))
+    starts = F.col("_first") | F.col("_before").isNull() | (n != F.col("_before") + 1)
+    rows = rows.select(group, number, starts.alias("_starts"), (F.lead(number).over(w) == n + 1).alias("_goes_on"))
+    ends = rows.filter(F.col("_starts") | ~F.coalesce("_goes_on", F.lit(False)))
+    end = F.when(F.coalesce("_goes_on", F.lit(False)), F.lead(number).over(w)).otherwise(n)
+    out = ends.select(group, n.alias("start"), end.alias("end"), "_starts").filter("_starts")
+    return out.select(group, "start", "end", F.coalesce((F.col("end") - F.col("start") + 1).cast("long"), F.lit(1).cast("long")).alias("n"))
 
 
 def label_by_overlap(sentences: DataFrame, spans: DataFrame, doc: str) -> DataFrame:

@@ -80,3 +80,13 @@ def test_f24_verbs_are_stemmed_by_one_look_up(spark):
     df = spark.createDataFrame([("It was found, then shown",), ("We studied flows",), ("no such thing",), (None,)], "s string").select(clauses.root_verb("s").alias("v"), clauses.stem(F.lit("Analysed.")).alias("w"), clauses.stem(F.lit("Flow!")).alias("x"))
     assert [tuple(r) for r in df.collect()] == [("find", "analyse", "flow"), ("study", "analyse", "flow"), (None, "analyse", "flow"), (None, "analyse", "flow")]
     assert str(clauses.stem(F.lit("x"))).count("WHEN") <= 1
+
+
+def test_f23_runs_of_repeated_and_missing_numbers(spark):
+    from quillmill.operators import intervals
+
+    df = spark.createDataFrame([("a", x) for x in (3, 1, 2, 2, 7, 9, 8, None, None, 12)] + [(None, 5), ("b", None), ("c", -1), ("c", 0)], "g string, x long")
+    made = intervals.islands(df, "g", "x")
+    want = {("a", None, None, 1), ("a", 1, 3, 3), ("a", 7, 9, 3), ("a", 12, 12, 1), (None, 5, 5, 1), ("b", None, None, 1), ("c", -1, 0, 2)}
+    assert {(r.g, r.start, r.end, r.n) for r in made.collect()} == want and made.count() == len(want)
+    assert "HashAggregate" not in made._jdf.queryExecution().executedPlan().toString()
