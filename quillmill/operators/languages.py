@@ -3,8 +3,8 @@
 Texts are lower-cased, everything but letters becomes one space, and runs of one to three letters (with the space at a word's
 ends) are counted by language. The MOST most frequent n-grams of each language are kept; an n-gram weighs, for a language,
 1000 times the logarithm of its smoothed share there, as a whole number. So sums are exact, and a text's language is that of
-the greatest sum; equal sums go to the first language by name. The counts are reduced before they are shuffled; the table that
-is sent to all tasks has at most MOST times the number of languages n-grams, whatever the corpus.
+the greatest sum; equal sums go to the first language by name. Each task counts its texts' n-grams, so that only counts are shuffled
+(and written once); the table that is sent to all tasks has at most MOST times the number of languages n-grams, whatever the corpus.
 
 Defined results: null texts, and texts without a letter, have no language (null, with a null score). Labelled rows whose text
 or language is null teach nothing. Without any labelled row no text has a language.
@@ -13,16 +13,20 @@ or language is null teach nothing. Without any labelled row no text has a langua
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .tables import pinned
+from ..shared import settle
 
 MOST, LONGEST = 3000, 3
+#: Kinds of n-grams that a task holds before it passes their counts on.
+HELD = 500_000
 
 
 def letters_of(text: Column) -> Column:
@@ -31,20 +35,27 @@ def letters_of(text: Column) -> Column:
     return F.when(words != "", F.concat(F.lit(" "), words, F.lit(" "))).otherwise("")
 
 
-def _from_here(n: int):
-    """A function of a letter and its place: n letters of column c from there, null where there are fewer."""
-    return lambda x, i: F.concat(x, *(F.get("c", i + k) for k in range(1, n)))
-
-
 def gram_counts(labelled: DataFrame, text: str, lang: str) -> DataFrame:
     """(lang, gram, n): how often each language has each n-gram. No n-gram is a blank alone."""
-    rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.split(letters_of(F.col(text)), "").alias("c"))
-    # n-grams are put together from an array of letters: a substring of a long text would be looked for from its start.
-    rows = pinned(rows.select("lang", F.col("c").alias("_c")), c=F.col("_c"))
-    grams = [F.filter("c", lambda x: (x != " ") & (x != ""))]
-    for n in range(2, LONGEST + 1):
-        grams.append(F.filter(F.transform("c", _from_here(n)), lambda g: g.isNotNull()))
-    return rows.select("lang", F.explode(F.concat(*grams)).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n"))
+    rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), letters_of(F.col(text)).alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: defaultdict[str, Counter[str]] = defaultdict(Counter)
+
+        def done() -> pa.RecordBatch:
+            out = [(x, g, n) for x, own in held.items() for g, n in own.items() if g != " "]
+            held.clear()
+            return pa.record_batch([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "gram", "n"])
+
+        for b in batches:
+            for x, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for n in range(1, LONGEST + 1):
+                    held[x].update(map("".join, zip(*(t[k:] for k in range(n)))) if n > 1 else t)  # noqa: B905
+                if sum(map(len, held.values())) > HELD:
+                    yield done()
+        yield done()
+
+    return rows.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def weights(counts: DataFrame, most: int = MOST) -> DataFrame:
@@ -67,7 +78,7 @@ class LanguageModel:
 
     @classmethod
     def fit(cls, labelled: DataFrame, text: str = "text", lang: str = "lang", most: int = MOST) -> LanguageModel:
-        rows = weights(gram_counts(labelled, text, lang), most).collect()  # at most `most` n-grams of each language
+        rows = weights(settle(gram_counts(labelled, text, lang)), most).collect()  # at most `most` n-grams of each language
         langs = sorted({r.lang for r in rows})
         at = {x: k for k, x in enumerate(langs)}
         table: dict[str, list[int]] = {}
