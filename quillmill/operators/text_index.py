@@ -2,8 +2,8 @@
 
 A text is lower-cased and cut at single spaces; each piece is a term, and its place is its number among the pieces (two
 spaces have an empty piece between them, which is a term too, so that phrases match as they are written). The
-postings (term, key, places) are written to BUCKETS folders by the hash of their term, sorted by term, so that a reader skips
-row groups by their least and greatest term; so is the vocabulary, with each term's number of texts. More texts are appended
+postings of a block of texts (term, and the keys and places where it stands) are written to BUCKETS folders by the hash of their term,
+sorted by term, so that a reader skips row groups by their least and greatest term; so is the vocabulary, with each term's number of texts. More texts are appended
 as more files.
 
 A search looks its words up in the vocabulary (terms that contain, end with, are or start with a part of what is asked), reads
@@ -16,12 +16,54 @@ written: a text that is appended again is found twice. An empty query matches ev
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import pinned
 
 BUCKETS = 64
+#: Places that a block of texts has at least, but for the last; they bound what a task holds.
+BLOCK = 3_000_000
+
+
+def _ints(lists: list[array]) -> pa.Array:
+    flat = np.concatenate([np.frombuffer(x, np.int32) for x in lists])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), pa.int32()), pa.array(flat))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, t) to the postings of blocks of texts. A text is a row, so nothing is shuffled to put its terms together."""
+    held: dict[str, list] = {}  # keys and places of a term, and how many texts have it
+    size, kind = 0, None
+
+    def done() -> Iterator[pa.RecordBatch]:
+        terms = list(held)
+        for k in range(0, len(terms), 10_000):
+            own = [held[t] for t in terms[k : k + 10_000]]
+            columns = [pa.array(terms[k : k + 10_000], pa.string()), pa.array([x[0] for x in own], pa.list_(kind)), _ints([x[1] for x in own]), pa.array([x[2] for x in own], pa.int64())]
+            yield pa.record_batch(columns, names=["term", "keys", "places", "n"])
+        held.clear()
+
+    for b in batches:
+        kind = b.schema.field(0).type
+        for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for at, term in enumerate(text.split(" ")):
+                own = held.get(term)
+                if own is None:
+                    own = held[term] = [[], array("i"), 0]
+                own[2] += not own[0] or own[0][-1] != key
+                own[0].append(key)
+                own[1].append(at)
+                size += 1
+            if size >= BLOCK:
+                yield from done()
+                size = 0
+    yield from done()
 
 
 class TextIndex:
@@ -31,10 +73,10 @@ class TextIndex:
     def append(self, texts: DataFrame, key: str, text: str | Column) -> TextIndex:
         """Write the postings of more texts."""
         lower = F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
-        pieces = texts.select(F.col(key).alias("key"), F.posexplode(F.split(lower, " ")).alias("at", "term")).filter("key is not null")
-        postings = pieces.groupBy("key", "term").agg(F.sort_array(F.collect_list("at")).alias("places"))
-        self._write(postings, "postings")
-        self._write(self.spark.read.parquet(f"{self.root}/postings").groupBy("term").agg(F.count("*").alias("n")), "terms", "overwrite")
+        rows = texts.select(F.col(key).alias("key"), lower.alias("t")).filter("key is not null")
+        blocks = rows.mapInArrow(_blocks, f"term string, keys array<{rows.schema['key'].dataType.simpleString()}>, places array<int>, n long")
+        self._write(blocks, "postings")
+        self._write(self.spark.read.parquet(f"{self.root}/postings").groupBy("term").agg(F.sum("n").alias("n")), "terms", "overwrite")
         return self
 
     def _write(self, rows: DataFrame, name: str, mode: str = "append") -> None:
@@ -60,7 +102,7 @@ class TextIndex:
             insides = F.filter(every, lambda i: F.substring(term, i + 1, F.lit(len(word))) == word)
         else:
             insides = F.array(F.length(term) - len(word) if kind == "ends" else F.lit(0))
-        rows = self.postings(pinned(found, insides=insides)).select("key", "term", "insides", F.explode("places").alias("at"))
+        rows = self.postings(pinned(found, insides=insides)).select("term", "insides", F.inline(F.arrays_zip("keys", "places"))).withColumnsRenamed({"keys": "key", "places": "at"})
         return rows.select("key", "at", F.explode("insides").alias("inside"), "term")
 
     def places(self, query: str) -> DataFrame:
