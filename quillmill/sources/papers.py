@@ -13,6 +13,7 @@ from ..functions.abbreviations import abbreviation_map, expand
 from ..functions.rules import is_english
 from ..operators.tables import first_wins, unseen
 from ..schema import PAPERS
+from ..shared import small_batches
 
 
 @dataclass(frozen=True)
@@ -103,6 +104,7 @@ def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -
 def format_papers(raw: DataFrame, source: Source | str, database: str | None = None, seen: DataFrame | None = None, check_database: bool = True, order: Column | None = None) -> DataFrame:
     """Rows of a source in the papers schema: one a DOI, the first if duplicates are checked, else the last."""
     s = SOURCES[source] if isinstance(source, str) else source
+    small_batches(raw.sparkSession)
     order = F.monotonically_increasing_id() if order is None else order
     df = raw.select(
         s.doi().alias("doi"), X.commas(s.authors()).alias("Authors"), X.year_of(s.date()).alias("year"), F.lit(s.database if database is None else database).alias("database"), s.fields().alias("fields"),
