@@ -241,7 +241,7 @@ def articles_of_files(spark, sf_dir):
 
 
 def _landed(spark, sf_dir, name: str, html: Column) -> DataFrame:
-    d = table(spark, sf_dir, "customer")
+    d = tables.spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name"))
     return L.PARSERS[name](tables.pinned(d, html=html))
 
 
