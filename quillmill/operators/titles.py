@@ -13,6 +13,8 @@ the least key. Repeated titles of one table are matched once and get one answer
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,7 +42,9 @@ def _ranked(titles: DataFrame, rarity: DataFrame) -> DataFrame:
 
 
 def _first_words(rows: DataFrame, least: float) -> DataFrame:
-    return rows.select("plain", "words", F.posexplode(F.slice("words", F.lit(1), _prefix(least))).alias("at", "word"))
+    """A row for each of a title's first words, with the title's number and sizes in place of its text."""
+    first = rows.select("id", F.size("words").alias("n"), F.length("plain").alias("letters"), F.slice("words", F.lit(1), _prefix(least)).alias("first"))
+    return first.select("*", F.posexplode("first").alias("at", "word"))
 
 
 def similar(left: DataFrame, right: DataFrame, least: float = LEAST, alike: float = ALIKE) -> DataFrame:
@@ -48,17 +52,24 @@ def similar(left: DataFrame, right: DataFrame, least: float = LEAST, alike: floa
     left, right = (settle(t.select("plain").filter(F.coalesce("plain", F.lit("")) != "").distinct()) for t in (left, right))
     words = left.unionByName(right).distinct().select(F.explode(F.array_distinct(F.split("plain", " "))).alias("word"))
     rarity = settle(words.groupBy("word").agg(F.count("*").alias("df")))
-    a, b = (_first_words(_ranked(t, rarity), least) for t in (left, right))
-    a = a.select(F.col("plain").alias("l"), F.col("words").alias("lw"), F.col("at").alias("la"), "word")
-    b = b.select(F.col("plain").alias("r"), F.col("words").alias("rw"), F.col("at").alias("ra"), "word")
-    n, m = F.size("lw"), F.size("rw")
+    ranked = [settle(_ranked(t, rarity).withColumn("id", F.monotonically_increasing_id())) for t in (left, right)]
+    a, b = (_first_words(t, least) for t in ranked)
+    # Titles whose letters differ by the bound at most lie in one class of lengths or in two neighbours'.
+    at = F.floor(F.log("letters") / (-math.log(alike) * (1 + 1e-6))) if 0 < alike < 1 else F.lit(0)  # a little wider, for rounding
+    a = a.select(F.col("id").alias("l"), F.col("n").alias("ln"), F.col("letters").alias("ll"), F.col("first").alias("lf"), F.col("at").alias("la"), "word", F.explode(F.array(at - 1, at, at + 1) if 0 < alike < 1 else F.array(at)).alias("class"))
+    b = b.select(F.col("id").alias("r"), F.col("n").alias("rn"), F.col("letters").alias("rl"), F.col("first").alias("rf"), F.col("at").alias("ra"), "word", at.alias("class"))
+    n, m = F.col("ln"), F.col("rn")
     # At most this many words can be shared from the first common one on; so many must be.
     could = 1 + F.least(n - F.col("la") - 1, m - F.col("ra") - 1)
     must = F.ceil(F.round(F.lit(least / (1 + least)) * (n + m), 9))
-    close = F.round(F.greatest(F.length("l"), F.length("r")) * (1 - alike), 9) >= F.abs(F.length("l") - F.length("r"))
+    close = F.round(F.greatest("ll", "rl") * (1 - alike), 9) >= F.abs(F.col("ll") - F.col("rl"))
     # A pair that shares several first words is compared at the first of them only.
-    first = F.get(F.array_intersect(F.slice("lw", F.lit(1), F.col("la") + 1), F.slice("rw", F.lit(1), F.col("ra") + 1)), F.lit(0)) == F.col("word")
-    pairs = a.join(b, "word").filter((could >= must) & close & first)
+    first = F.get(F.array_intersect(F.slice("lf", F.lit(1), F.col("la") + 1), F.slice("rf", F.lit(1), F.col("ra") + 1)), F.lit(0)) == F.col("word")
+    pairs = a.join(b, ["word", "class"]).filter((could >= must) & close & first).select("l", "r")
+    # The texts are met by the pairs that are left.
+    texts = [t.select(F.col("id").alias(c), F.col("plain").alias(f"{c}_text"), F.col("words").alias(f"{c}w")) for t, c in zip(ranked, "lr", strict=True)]
+    pairs = pairs.join(texts[0], "l").join(texts[1], "r").select(F.col("l_text").alias("l"), F.col("r_text").alias("r"), "lw", "rw")
+    n, m = F.size("lw"), F.size("rw")
     shared = F.size(F.array_intersect("lw", "rw"))
     scored = pairs.select("l", "r", (shared / (n + m - shared)).alias("jaccard")).filter(F.col("jaccard") >= least)
     longer = F.greatest(F.length("l"), F.length("r"))
