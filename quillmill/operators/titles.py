@@ -2,8 +2,8 @@
 
 Two titles match if their sets of words have a Jaccard similarity of `least` or more and their texts differ by at most
 1 - `alike` of the longer one's letters (titles of more than LONG letters: by words alone). Words are put in the order of their rarity over both tables. Two sets that similar
-share a word among the first n - ceil(least * n) + 1 of each, so only those words are joined; sizes and the words' places bound
-the similarity of a pair before anything is compared. Common words are never among the first of a title of several words, so
+share a word among the first n - ceil(least * n) + 1 of each, so only those words are joined; sizes, the words' places and the
+number of first words that a pair shares bound its similarity before anything is compared. Common words are never among the first of a title of several words, so
 no frequent word is a hot key; titles that are all of common words are few texts, as equal titles are joined once.
 
 Defined results: null titles and titles without a letter or digit match nothing. Titles are compared lower-cased, by runs of
@@ -35,37 +35,48 @@ def _prefix(least: float) -> Column:
     return F.size("words") - F.ceil(F.round(F.size("words") * least, 9)).cast("int") + 1
 
 
+def _words(titles: DataFrame) -> DataFrame:
+    """(id, word): the distinct words of each title."""
+    return titles.select("id", F.explode(F.array_distinct(F.split("plain", " "))).alias("word"))
+
+
 def _ranked(titles: DataFrame, rarity: DataFrame) -> DataFrame:
-    """(plain, words): the distinct words of each title, rarest first."""
-    rows = titles.select("plain", F.explode(F.array_distinct(F.split("plain", " "))).alias("word")).join(rarity, "word")
-    return rows.groupBy("plain").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "word"))), lambda x: x["word"]).alias("words"))
+    """(id, plain, words): the numbers of the distinct words of each title, rarest first. Only numbers meet the words."""
+    rows = _words(titles).join(rarity, "word").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "number"))), lambda x: x["number"]).alias("words"))
+    return titles.join(rows, "id")
 
 
 def _first_words(rows: DataFrame, least: float) -> DataFrame:
     """A row for each of a title's first words, with the title's number and sizes in place of its text."""
     first = rows.select("id", F.size("words").alias("n"), F.length("plain").alias("letters"), F.slice("words", F.lit(1), _prefix(least)).alias("first"))
-    return first.select("*", F.posexplode("first").alias("at", "word"))
+    return first.select("id", "n", "letters", F.posexplode("first").alias("at", "word"))
 
 
-def similar(left: DataFrame, right: DataFrame, least: float = LEAST, alike: float = ALIKE) -> DataFrame:
-    """(l, r, jaccard, letters): pairs of distinct plain titles (column plain of each) that match. No pair is left out."""
-    left, right = (settle(t.select("plain").filter(F.coalesce("plain", F.lit("")) != "").distinct()) for t in (left, right))
-    words = left.unionByName(right).distinct().select(F.explode(F.array_distinct(F.split("plain", " "))).alias("word"))
-    rarity = settle(words.groupBy("word").agg(F.count("*").alias("df")))
-    ranked = [settle(_ranked(t, rarity).withColumn("id", F.monotonically_increasing_id())) for t in (left, right)]
-    a, b = (_first_words(t, least) for t in ranked)
+def _candidates(a: DataFrame, b: DataFrame, least: float, alike: float) -> DataFrame:
+    """(l, r): pairs of the titles (id, plain, words) of two tables that may match, by numbers alone."""
+    a, b = (_first_words(t, least) for t in (a, b))
     # Titles whose letters differ by the bound at most lie in one class of lengths or in two neighbours'.
-    at = F.floor(F.log("letters") / (-math.log(alike) * (1 + 1e-6))) if 0 < alike < 1 else F.lit(0)  # a little wider, for rounding
-    a = a.select(F.col("id").alias("l"), F.col("n").alias("ln"), F.col("letters").alias("ll"), F.col("first").alias("lf"), F.col("at").alias("la"), "word", F.explode(F.array(at - 1, at, at + 1) if 0 < alike < 1 else F.array(at)).alias("class"))
-    b = b.select(F.col("id").alias("r"), F.col("n").alias("rn"), F.col("letters").alias("rl"), F.col("first").alias("rf"), F.col("at").alias("ra"), "word", at.alias("class"))
+    at = F.floor(F.log("letters") / (-math.log(alike) * (1 + 1e-6))).cast("int") if 0 < alike < 1 else F.lit(0)  # a little wider, for rounding
+    a = a.select(F.col("id").alias("l"), F.col("n").alias("ln"), F.col("letters").alias("ll"), F.col("at").alias("la"), "word", F.explode(F.array(at - 1, at, at + 1) if 0 < alike < 1 else F.array(at)).alias("class"))
+    b = b.select(F.col("id").alias("r"), F.col("n").alias("rn"), F.col("letters").alias("rl"), F.col("at").alias("ra"), "word", at.alias("class"))
     n, m = F.col("ln"), F.col("rn")
-    # At most this many words can be shared from the first common one on; so many must be.
-    could = 1 + F.least(n - F.col("la") - 1, m - F.col("ra") - 1)
+    # So many words can be shared up to a common one and after it; so many must be.
+    could = F.least("la", "ra") + 1 + F.least(n - F.col("la") - 1, m - F.col("ra") - 1)
     must = F.ceil(F.round(F.lit(least / (1 + least)) * (n + m), 9))
     close = F.round(F.greatest("ll", "rl") * (1 - alike), 9) >= F.abs(F.col("ll") - F.col("rl"))
-    # A pair that shares several first words is compared at the first of them only.
-    first = F.get(F.array_intersect(F.slice("lf", F.lit(1), F.col("la") + 1), F.slice("rf", F.lit(1), F.col("ra") + 1)), F.lit(0)) == F.col("word")
-    pairs = a.join(b, ["word", "class"]).filter((could >= must) & close & first).select("l", "r")
+    seen = a.join(b, ["word", "class"]).filter((could >= must) & close).groupBy("l", "r", "ln", "rn").agg(F.count("*").alias("seen"))
+    # A shared word that isn't among both titles' first words stands after those of one of them.
+    after = [F.col(c) - (F.col(c) - F.ceil(F.round(F.col(c) * least, 9)).cast("int") + 1) for c in ("ln", "rn")]
+    return seen.filter(F.col("seen") + F.greatest(*after) >= must).select("l", "r")
+
+
+def similar(left: DataFrame, right: DataFrame, least: float = LEAST, alike: float = ALIKE) -> DataFrame:
+    """(l, r, jaccard, letters): pairs of distinct plain titles (column plain of each) that match. No pair is left out."""
+    left, right = (settle(t.select("plain").filter(F.coalesce("plain", F.lit("")) != "").distinct().withColumn("id", F.monotonically_increasing_id())) for t in (left, right))
+    # A word of a title in both tables counts twice, as the order of words may be any.
+    rarity = settle(_words(left).unionByName(_words(right)).groupBy("word").agg(F.count("*").alias("df")).withColumn("number", F.monotonically_increasing_id()))
+    ranked = [settle(_ranked(t, rarity)) for t in (left, right)]
+    pairs = _candidates(*ranked, least, alike)
     # The texts are met by the pairs that are left.
     texts = [t.select(F.col("id").alias(c), F.col("plain").alias(f"{c}_text"), F.col("words").alias(f"{c}w")) for t, c in zip(ranked, "lr", strict=True)]
     pairs = pairs.join(texts[0], "l").join(texts[1], "r").select(F.col("l_text").alias("l"), F.col("r_text").alias("r"), "lw", "rw")
